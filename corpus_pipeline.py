@@ -46,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("copy")
     chosen = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("from"))).select(*COLUMNS, "size", "taken", copies)
     words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
-    cut = F.regexp_extract("text", F.concat(F.lit("^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*){"), words.cast("string"), F.lit("}")), 0)
+    cut = F.regexp_substr("text", F.concat(F.lit("^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*){"), words.cast("string"), F.lit("}")))
     text = F.when(words < F.col("size"), cut).otherwise(F.col("text"))
     return chosen.select("doc_id", text.alias("text"), "lang", "source", "n_chars").withColumn("n_chars", F.char_length("text").cast("long"))
 
