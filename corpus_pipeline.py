@@ -40,13 +40,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and drop documents so that each source has its share of words.
 
-    A document taken once and a half is one whole copy and its first half of words.
+    A document taken once and a half is one whole copy and its first half of words,
+    joined by single spaces.
     """
     taken = mixing.mix_sources(docs).select(F.col("doc_id").alias("id"), "size", "taken", F.col("source").alias("from")).where("taken > 0").distinct()
     copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("copy")
     chosen = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("from"))).select(*COLUMNS, "size", "taken", copies)
     words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
-    cut = F.regexp_substr("text", F.concat(F.lit("^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*){"), words.cast("string"), F.lit("}")))
+    cut = F.array_join(F.slice(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != ""), 1, F.greatest(words, F.lit(0)).cast("int")), " ")
     text = F.when(words < F.col("size"), cut).otherwise(F.col("text"))
     return chosen.select("doc_id", text.alias("text"), "lang", "source", "n_chars").withColumn("n_chars", F.char_length("text").cast("long"))
 
