@@ -8,13 +8,17 @@
    of its pivots, mostly one, so every linked pair meets in some region.  (Of pivots
    drawn at random nearly every set has distance 1, where the triangle inequality
    says nothing; this is why regions are nominated by shared shingles.)
-3. A region that fits in a task is joined there exactly.  A larger one is cut around
+3. Every set has a parity sketch, one bit for each of about n cells of the hash range.
+   The bits in which two sketches differ are at most the symmetric difference, so a
+   set leaves a region where each other one is farther than a link allows; shingles
+   are fetched for what stays.
+4. A region that fits in a task is joined there exactly.  A larger one is cut around
    its pivot into rings as wide as the join's distance: by the triangle inequality a
    partner is in the same ring or the next, so a ring gets the ring inside it as
    visitors.  What links to the pivot is one component already and is not paired
    again.  Rings are regions with pivots of their own, and so on; a ring that stays
    too large is dealt into blocks, every pair of which is joined.
-4. Links are written as stars and their components found by ``connected_components``.
+5. Links are written as stars and their components found by ``connected_components``.
 
 Shingles are 64-bit hashes; everything else is exact for every size and skew.
 """
@@ -112,6 +116,64 @@ def prefix(shingles: np.ndarray, percent: int, frequent: np.ndarray, counts: np.
     return shingles[np.lexsort((shingles, often))[:p]]
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit for each of the least power of two >= n cells (64 at least): whether it holds an odd number."""
+    bits = max(6, (len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8) & 1).tobytes()
+
+
+def within_reach(sizes: np.ndarray, parities: list[bytes], percent: int) -> np.ndarray:
+    """Whether each set of a region has another one that its parity sketch does not rule out."""
+    width = min(map(len, parities))
+    rows = []
+    for p in parities:
+        bits = np.frombuffer(p, dtype=np.uint8)
+        while len(bits) > width:  # halve the number of cells: neighbours' parities add up
+            pairs = np.unpackbits(bits).reshape(-1, 2)
+            bits = np.packbits(pairs[:, 0] ^ pairs[:, 1])
+        rows.append(bits)
+    table = np.vstack(rows).view(np.uint64)
+    near = np.zeros(len(sizes), dtype=bool)
+    for i in range(len(sizes)):
+        apart = np.bitwise_count(table ^ table[i]).sum(axis=1, dtype=np.int64)
+        hit = apart * (100 + percent) <= (sizes + sizes[i]) * (100 - percent)
+        near[i] = hit.sum() > 1
+    return near
+
+
+def by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of sorted batches, the first column off, region by region."""
+    held: list[tuple] = []
+    now = None
+    for batch in batches:
+        for region, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if region != now and held:
+                yield held
+                held = []
+            now = region
+            held.append(tuple(row))
+    if held:
+        yield held
+
+
+def prune_regions(rows: DataFrame, percent: int) -> DataFrame:
+    """(pivot, cid, n) of those ``rows`` (pivot, cid, n, parity) that may link in their region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["pivot", "cid", "n"]
+        out: list[tuple] = []
+        for group in by_region(batches):
+            near = within_reach(np.array([g[2] for g in group]), [g[3] for g in group], percent)
+            out += [g[:3] for g, stays in zip(group, near.tolist(), strict=True) if stays]
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+    return rows.select("pivot", F.col("pivot").alias("p"), "cid", "n", "parity").repartition("pivot").sortWithinPartitions("pivot").mapInArrow(run, "pivot long, cid long, n long")
+
+
 def pairs_of(kinds: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of all linked pairs of a region but those of two insiders or two visitors."""
     sizes = np.array([len(s) for s in sets])
@@ -162,31 +224,19 @@ def join_regions(rows: DataFrame, percent: int) -> DataFrame:
     """Star edges (a, b) of the regions in ``rows`` (region, cid, kind, shingles), each of which fits in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        now = None
-
-        def close() -> list[tuple[int, int]]:
-            if len(held) < 2 or not any(x[1] != VISITOR for x in held):
-                return []
+        names = ["a", "b"]
+        edges: list[tuple[int, int]] = []
+        for held in by_region(batches):
             one = {x[0]: x for x in held}  # repeated rows of one class
             group = [one[c] for c in sorted(one)]
-            sets = [np.frombuffer(x[2], dtype=np.uint64) for x in group]
-            if len(group) < 2:
-                return []
-            return stars(*pairs_of(np.array([x[1] for x in group]), sets, percent), np.array([x[0] for x in group]))
-
-        def batch_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            edges: list[tuple[int, int]] = []
-            for region, cid, kind, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if region != now:
-                    edges += close()
-                    held, now = [], region
-                held.append((cid, kind, raw))
-            yield batch_of(edges)
-        yield batch_of(close())
+            if len(group) > 1 and any(x[1] != VISITOR for x in group):
+                sets = [np.frombuffer(x[2], dtype=np.uint64) for x in group]
+                edges += stars(*pairs_of(np.array([x[1] for x in group]), sets, percent), np.array([x[0] for x in group]))
+            if len(edges) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=names)
+                edges = []
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=names)
 
     return rows.select("region", "cid", "kind", "shingles").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long")
 
@@ -261,17 +311,19 @@ def jaccard_components(
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = hints.value
         for batch in batches:
-            sizes, digests, firsts = [], [], []
+            sizes, digests, firsts, parities = [], [], [], []
             for x in batch.column(1):
                 found = shingle_set(x.as_py(), k)
                 sizes.append(len(found))
                 digests.append(set_digest(found) if len(found) else None)
                 firsts.append(prefix(found, percent, frequent, counts).view(np.int64) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "prefix"])
+                parities.append(parity(found) if len(found) else None)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parities, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "prefix", "parity"])
 
-    sets, sets_path = materialize(docs.mapInArrow(describe, "doc_id long, n long, digest binary, prefix array<long>"), "sets")
+    sets, sets_path = materialize(docs.mapInArrow(describe, "doc_id long, n long, digest binary, prefix array<long>, parity binary"), "sets")
     classes, _ = materialize(
-        sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("cid", F.monotonically_increasing_id()),
+        sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")).withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
     # runs of close sizes among the classes that share a prefix shingle
@@ -280,7 +332,14 @@ def jaccard_components(
     runs = classes.select("cid", "n", F.explode("prefix").alias("shingle")).withColumn("gap", gap).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     group = Window.partitionBy("shingle", "run")
     members = runs.withColumn("pivot", F.min("cid").over(group)).withColumn("among", F.count("*").over(group)).where("among > 1").select("pivot", "cid", "n").distinct()
-    members, members_path = materialize(members, "members")
+    members, met_path = materialize(members, "members")
+    crowded = members.groupBy("pivot").count().where(F.col("count") > most_rows).select("pivot")
+    sketched = members.join(classes.select("cid", "parity"), "cid")
+    if not crowded.isEmpty():
+        sketched = sketched.join(crowded, "pivot", "left_anti")
+    kept = prune_regions(sketched, percent)
+    members, members_path = materialize(kept.unionByName(members.join(crowded, "pivot", "left_semi").select("pivot", "cid", "n")), "members")
+    drop(spark, met_path)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
