@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 #: License names and the sentences by which files state them.
@@ -113,7 +115,8 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMP
     repeated rows are scanned each; an empty table gives no rows; further columns are
     ignored.
     """
-    found = scan(files, templates, threshold, file_share).withColumn("directory", directory(F.col("path")))
+    # written once: three branches read it, and the texts are scanned in none of them again
+    found, _ = materialize(scan(files, templates, threshold, file_share).withColumn("directory", directory(F.col("path"))), "licenses")
     given = (
         found.where("license_file and directory is not null")
         .groupBy("directory")
