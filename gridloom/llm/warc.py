@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, utf8
+from .common import materialize, new_path, utf8
 
 END = "\r\n\r\n"
 ID = "urn:page:"
@@ -123,7 +123,7 @@ def archive_pages(pages: DataFrame, path: str | None = None, least_bytes: int =
     path = path or new_path(spark, "warc")
     write_archives(resolve_revisits(pages, least_bytes), path)
     # kept of a record are its headers; payloads were checked against their digests in the pass that read them
-    read = read_archives(spark, path).drop("payload")
+    read, _ = materialize(read_archives(spark, path).drop("payload"), "warc-headers")
     sizes = read.where("record_type = 'response'").groupBy(F.col("page_id").alias("origin")).agg(F.max("length").alias("origin_bytes"), F.max("digest").alias("origin_digest"))
     wanted = read.where("refers_to is not null").select(F.col("refers_to").alias("origin")).distinct()
     joined = read.join(sizes.join(wanted, "origin"), F.col("refers_to") == F.col("origin"), "left")
