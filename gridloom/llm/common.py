@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,18 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is written meanwhile: its rows can be large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(was)) if int(was) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read again, and its path: survives lost executors."""
     spark = df.sparkSession

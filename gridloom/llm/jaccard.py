@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop, materialize
+from .common import connected_components, drop, materialize, small_batches
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: kinds of a region's rows: linked to one pivot; to be paired; from the next ring in
@@ -41,10 +41,10 @@ INSIDER, HOME, VISITOR = 0, 1, 2
 
 
 class _Words(dict):
-    """64-bit hashes of words; emptied when half a million are held."""
+    """64-bit hashes of words; emptied when 131,072 are held."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
@@ -293,7 +293,7 @@ def jaccard_components(
     sample_rows: int = 20_000,
     most_frequent: int = 1 << 19,
     most_rows: int = 1024,
-    most_bytes: int = 1 << 25,
+    most_bytes: int = 1 << 24,
     depth: int = 4,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
@@ -304,8 +304,13 @@ def jaccard_components(
     doc_id; rows with a null doc_id take part and have a null component_id only where
     no doc_id is reachable; an empty table gives no rows; further columns are ignored.
     """
+    with small_batches(docs.sparkSession):
+        return _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), k, percent, sample_rows, most_frequent, most_rows, most_bytes, depth)
+
+
+def _components(docs: DataFrame, k: int, percent: int, sample_rows: int, most_frequent: int, most_rows: int, most_bytes: int, depth: int) -> DataFrame:
+    """All steps of ``jaccard_components`` that run Python are written before it returns."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hints = spark.sparkContext.broadcast(frequent_shingles(docs, k, sample_rows, most_frequent))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
