@@ -40,7 +40,8 @@ def lexical_tokens(c: Column) -> Column:
 
     def expand(token: Column) -> Column:
         parts = F.filter(F.split(token, r"[_\-.]"), lambda p: p != "")
-        return F.when(F.size(parts) > 1, F.concat(F.array(token), parts)).otherwise(F.array(token))
+        # most tokens have no part, and are not split
+        return F.when(token == F.translate(token, "_-.", ""), F.array(token)).when(F.size(parts) > 1, F.concat(F.array(token), parts)).otherwise(F.array(token))
 
     return F.flatten(F.transform(hash_tokens(c), expand))
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vector import metric
 from .embed import DIMS, Embedder, embed_texts, hash_vectors
@@ -41,21 +45,70 @@ def dense_search(questions: DataFrame, vectors: DataFrame, similarity: str = "co
     return ranked(both, k, steady("semantic"), F.col(seq)).select("qid", "rank", "doc_id", seq, "semantic")
 
 
-def sparse_search(questions: DataFrame, documents: DataFrame, order: DataFrame, similarity: str = "cosine", k: int | None = 3) -> DataFrame:
-    """``dense_search`` for sparse unit vectors (id, idx, w): only documents with a shared index are joined.
+#: questions that one task scores at once; larger batches are joined by index
+HELD_QUESTIONS = 2048
 
-    The others all score alike, so the first of them in ``order`` (doc_id, seq) fill up.
+
+def sparse_search(questions: DataFrame, documents: DataFrame, order: DataFrame, similarity: str = "cosine", k: int | None = 3, dims: int = DIMS) -> DataFrame:
+    """``dense_search`` for sparse unit vectors (id, idx, w) below ``dims``; documents of ``order`` (doc_id, seq) without one score as zeros.
+
+    Up to ``HELD_QUESTIONS`` questions go with the tasks as one matrix, and each batch
+    of documents passes on its own first ``k`` per question.  More questions are
+    joined to documents on shared indices.
     """
     metric(similarity)
+    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot")))
+    semantic = 1 / (1 + apart) if similarity == "euclidean" else F.col("dot")
+    asked = questions.groupBy("qid").agg(F.collect_list("idx").alias("idx"), F.collect_list("w").alias("w")).limit(HELD_QUESTIONS + 1)
+    held = asked.collect() if k is not None else []
+    if k is not None and len(held) <= HELD_QUESTIONS:
+        dots = _scored(held, questions.schema["qid"].dataType, documents, order, k, dims)
+    else:
+        dots = _joined(questions, documents, order, k)
+    return ranked(dots.withColumn("semantic", semantic), k, steady("semantic"), F.col("seq")).select("qid", "rank", "doc_id", "seq", "semantic")
+
+
+def _joined(questions: DataFrame, documents: DataFrame, order: DataFrame, k: int | None) -> DataFrame:
+    """(qid, doc_id, seq, dot) of documents with a shared index, and of the first others."""
     q, d = questions.select("qid", "idx", F.col("w").alias("qw")), documents.select("doc_id", "idx", F.col("w").alias("dw"))
     dots = d.join(q, "idx").groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
     everyone = order.select("doc_id", "seq")
     fill = everyone if k is None else everyone.orderBy("seq").limit(k)
     ids = questions.select("qid").distinct()
-    filled = dots.select("qid", "doc_id", "dot").unionByName(fill.select("doc_id").crossJoin(ids).select("qid", "doc_id", F.lit(0.0).alias("dot"))).groupBy("qid", "doc_id").agg(F.max("dot").alias("dot"))
-    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot")))
-    scored = filled.join(everyone, "doc_id").withColumn("semantic", 1 / (1 + apart) if similarity == "euclidean" else F.col("dot"))
-    return ranked(scored, k, steady("semantic"), F.col("seq")).select("qid", "rank", "doc_id", "seq", "semantic")
+    filled = dots.select("qid", "doc_id", "dot").unionByName(fill.select("doc_id").crossJoin(ids).select("qid", "doc_id", F.lit(0.0).alias("dot")))
+    return filled.groupBy("qid", "doc_id").agg(F.max("dot").alias("dot")).join(everyone, "doc_id")
+
+
+def _scored(held: list, qid_type: T.DataType, documents: DataFrame, order: DataFrame, k: int, dims: int) -> DataFrame:
+    """(qid, doc_id, seq, dot): of each batch of documents the first ``k`` for every question."""
+    matrix = np.zeros((len(held), dims))
+    for i, r in enumerate(held):
+        at = np.array(r.idx, dtype=np.int64)
+        matrix[i, at[at >= 0]] = np.array(r.w)[at >= 0]
+    ids = [r.qid for r in held]
+    vectors = documents.groupBy("doc_id").agg(F.collect_list("idx").alias("idx"), F.collect_list("w").alias("w"))
+    rows = order.select("doc_id", "seq").join(vectors, "doc_id", "left").select("seq", "doc_id", "idx", "w")
+    schema = T.StructType().add("qid", qid_type).add("dot", "double").add("doc_id", rows.schema["doc_id"].dataType).add("seq", rows.schema["seq"].dataType)
+    qid_arrow = to_arrow_schema(schema).field("qid").type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                seqs = batch.column(0).to_pylist()
+                by_seq = sorted(range(len(seqs)), key=seqs.__getitem__)
+                dense = np.zeros((len(seqs), dims))
+                for i, (at, w) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                    if at:
+                        dense[i, at] = w
+                dots = matrix @ dense[by_seq].T
+                first = np.argsort(-np.round(dots, 9), axis=1, kind="stable")[:, :k]
+                picked = pa.array(np.array(by_seq)[first].ravel())
+                names = pa.array([q for q in ids for _ in range(first.shape[1])], qid_arrow)
+                values = pa.array(np.take_along_axis(dots, first, axis=1).ravel())
+                yield pa.RecordBatch.from_arrays([names, values, batch.column(1).take(picked), batch.column(0).take(picked)], names=["qid", "dot", "doc_id", "seq"])
+
+    return rows.mapInArrow(run, schema)
 
 
 class DualIndex:
@@ -90,7 +143,7 @@ class DualIndex:
             sparse = lambda df, key: hash_vectors(df, key, "text", self.dims)
             # a question without tokens has no vector; its scores are those of no shared index
             empty = asked.select("qid", F.lit(-1).alias("idx"), F.lit(0.0).alias("w"))
-            return sparse_search(sparse(asked, "qid").unionByName(empty), sparse(named, "doc_id"), named, self.similarity, k)
+            return sparse_search(sparse(asked, "qid").unionByName(empty), sparse(named, "doc_id"), named, self.similarity, k, self.dims)
         vectors = embed_texts(named, self.embedder).join(named.select("doc_id", "seq"), "doc_id")
         return dense_search(embed_texts(asked, self.embedder, "qid"), vectors, self.similarity, k)
 

@@ -45,11 +45,13 @@ def lexical_scores(questions: DataFrame, posted: DataFrame, weights: DataFrame,
     asked = questions.select("qid", F.explode(F.array_distinct(lexical_tokens(F.coalesce("question", F.lit(""))))).alias("asked"))
     top = weights.agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias("top"))
     total = asked.join(weights, F.col("asked") == F.col("token"), "left").crossJoin(F.broadcast(top)).groupBy("qid").agg(F.sum(F.coalesce("idf", "top")).alias("total"))
-    found = asked.join(match_weights(asked.select("asked").distinct(), weights), "asked")
-    if pairs is None:
-        hits = found.join(posted, "token")
-    else:
-        hits = found.join(posted.join(pairs.select("qid", key), key), ["qid", "token"])
-    per_token = hits.groupBy("qid", key, "asked").agg(F.max(F.when(F.col("exact"), F.col("weight"))).alias("same"), F.max("weight").alias("best"))
-    summed = per_token.groupBy("qid", key).agg(F.sum(F.coalesce("same", F.greatest("best", F.lit(0.0)))).alias("matched"))
+    matches = match_weights(asked.select("asked").distinct(), weights)
+    if pairs is not None:
+        posted = posted.join(pairs.select(key).distinct(), key, "left_semi")
+    # once for each distinct question token, however many questions hold it
+    per_token = matches.join(posted, "token").groupBy("asked", key).agg(F.max(F.when(F.col("exact"), F.col("weight"))).alias("same"), F.max("weight").alias("best"))
+    weighed = asked.join(per_token.select("asked", key, F.coalesce("same", F.greatest("best", F.lit(0.0))).alias("w")), "asked")
+    if pairs is not None:
+        weighed = weighed.join(pairs.select("qid", key), ["qid", key], "left_semi")
+    summed = weighed.groupBy("qid", key).agg(F.sum("w").alias("matched"))
     return summed.join(total, "qid").select("qid", key, F.when(F.col("total") > 0, F.col("matched") / F.col("total")).otherwise(0.0).alias("lexical"))

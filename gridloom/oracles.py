@@ -74,7 +74,7 @@ def oracle_sql() -> dict[str, str]:
     found["lex_topk"] = f"WITH {docs}, {LEX_CTES} " + _top("SELECT qid, doc_id, round(lexical, 6) AS lexical FROM lexical", "lexical", "lexical")
     found["embed_hash"] = f"WITH {_hash('d', 'doc_id', 'text', 'documents')} SELECT doc_id, idx, round(w, 9) AS w FROM d"
     hashes = f"{_hash('d', 'doc_id', 'text', 'documents')}, {_hash('q', 'item_id', 'text', 'benchmark')}"
-    found["embed_topk"] = f"WITH {hashes} " + _top("SELECT item_id AS qid, doc_id, round(sum(q.w * d.w), 6) AS semantic FROM q JOIN d ON q.idx = d.idx GROUP BY ALL", "semantic", "semantic")
+    found["embed_topk"] = f"WITH {hashes} " + "SELECT qid, rank, doc_id, round(s, 6) AS semantic FROM (" + _top("SELECT item_id AS qid, doc_id, round(sum(q.w * d.w), 9) AS s FROM q JOIN d ON q.idx = d.idx GROUP BY ALL", "s", "s") + ")"
     summed = f"docs_all AS (SELECT doc_id FROM documents), docs AS (SELECT doc_id, {_SUMMARY} AS text FROM documents)"
     found["hybrid_topk"] = f"""WITH {summed}, {LEX_CTES}, {_hash('d', 'doc_id', 'text', 'docs')}, {_hash('q', 'item_id', 'text', 'benchmark')},
     dots AS (SELECT item_id AS qid, doc_id, sum(q.w * d.w) AS semantic FROM q JOIN d ON q.idx = d.idx GROUP BY ALL),

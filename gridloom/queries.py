@@ -85,8 +85,8 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     q = embed.hash_vectors(questions(spark, sf_dir), "qid", "question")
-    found = index.sparse_search(q, embed.hash_vectors(docs), docs, k=None).withColumn("semantic", F.round("semantic", 6)).drop("rank")
-    return index.ranked(found, 3, F.col("semantic").desc(), F.col("doc_id")).select("qid", "rank", "doc_id", "semantic")
+    found = index.sparse_search(q, embed.hash_vectors(docs), docs, k=3)
+    return found.select("qid", "rank", "doc_id", F.round("semantic", 6).alias("semantic"))
 
 
 def dense_topk(similarity: str) -> Query:

@@ -38,8 +38,8 @@ _SAME = {
     "cte": "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), ranked AS (SELECT *, row_number() OVER (ORDER BY total DESC, o_custkey) AS rn FROM big) SELECT c_name, round(total, 2) AS total FROM ranked JOIN customer ON c_custkey = o_custkey WHERE rn <= 15",
     "cast_case": "SELECT p_partkey, CAST(floor(p_retailprice) AS BIGINT) AS price, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS class, TRY_CAST(p_name AS INTEGER) AS no_number, nullif(p_size, 10) AS not_ten, CAST(p_size AS VARCHAR(10)) AS text FROM part",
     "strings": "SELECT s_suppkey, upper(s_name) AS up, lower(s_name) AS low, length(s_name) AS n, substring(s_name, 2, 4) AS part, instr(s_name, '0') AS zero, replace(s_name, 'Supplier', 'S') AS short, s_name || '!' AS shout, trim('  x ') AS x, lpad(CAST(s_suppkey AS VARCHAR(9)), 6, '0') AS padded FROM supplier",
-    "dates": "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, CAST(o_orderdate AS DATE) AS day_of, quarter(o_orderdate) AS q FROM orders WHERE o_orderdate >= DATE '1996-06-14' AND o_orderdate < DATE '1996-09-01'",
-    "monthly": "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month_of, count(*) AS n FROM orders GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE)",
+    "dates": "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS day_of, quarter(o_orderdate) AS q FROM orders WHERE o_orderdate >= DATE '1996-06-14' AND o_orderdate < DATE '1996-09-01'",
+    "monthly": "SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR(10)) AS month_of, count(*) AS n FROM orders GROUP BY 1",
     "statistics": "SELECT p_brand, round(stddev_samp(p_retailprice), 4) AS sd, round(var_pop(p_retailprice), 2) AS v, round(corr(p_size, p_retailprice), 6) AS c, median(p_size) AS mid FROM part GROUP BY p_brand",
     "quantifiers": "SELECT event_type, bool_and(value >= 0) AS all_positive, bool_or(value > 50) AS some_large, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
     "ilike": "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%BRASS' OR p_name ILIKE 'a%'",

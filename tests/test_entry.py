@@ -29,9 +29,11 @@ def test_nothing_else_imports_llm():
 
 
 def same(df, other):
+    import pandas as pd
+
     def rows(frame):
         frame = frame[sorted(frame.columns)]
-        cell = lambda v: "null" if v is None or v != v else f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)[:19]
+        cell = lambda v: "null" if pd.isna(v) else f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)[:19]
         return sorted(tuple(map(cell, r)) for r in frame.astype(object).itertuples(index=False))
 
     return sorted(df.columns) == sorted(other.columns) and rows(df) == rows(other)
