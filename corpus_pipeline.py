@@ -20,6 +20,7 @@ LEAST_SCORE = 0.3  #: of four languages at random one would get a quarter
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter (``und``) and those that fit no learned language better than chance."""
+    docs = docs.select(*COLUMNS)
     langs, log_p = langid.fit(docs)
     named = langid.predict(docs, langs, log_p)
     return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
@@ -29,21 +30,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keep the document with the least doc_id of each group that shares 80 % of its five-word shingles.
 
     Documents without words are no one's duplicates, those without a doc_id are kept;
-    of repeated rows of one doc_id in a group one is kept.
+    of rows that repeat both doc_id and text one is kept.
     """
     parts = jaccard.jaccard_components(docs, k=5, percent=80)
     stay = parts.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("stays")).distinct()
     named = docs.select(*COLUMNS).where("doc_id is not null").join(stay, F.col("doc_id") == F.col("stays")).drop("stays")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and drop documents so that each source has its share of words.
 
     A document taken once and a half is one whole copy and its first half of words,
-    joined by single spaces.
+    joined by single spaces.  Rows that share doc_id and source are taken alike.
     """
-    taken = mixing.mix_sources(docs).select(F.col("doc_id").alias("id"), "size", "taken", F.col("source").alias("from")).where("taken > 0").distinct()
+    docs = docs.select(*COLUMNS)
+    every = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("from"))
+    taken = every.agg(F.max("size").alias("size"), F.floor(F.avg("taken")).alias("taken")).where("taken > 0")
     copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("copy")
     chosen = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("from"))).select(*COLUMNS, "size", "taken", copies)
     words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
