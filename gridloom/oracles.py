@@ -115,4 +115,12 @@ def oracle_sql() -> dict[str, str]:
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY exact DESC, doc_id) AS rank FROM s QUALIFY rank <= 5),
     h AS (SELECT qid, min(rank) FILTER (WHERE doc_id <> qid AND (dl = ql OR dl = (ql + 1) % 10)) AS hit FROM r GROUP BY qid)
     SELECT 'labels' AS dataset, count(*) AS num_samples, round(avg(CASE WHEN hit <= 3 THEN 1.0 ELSE 0 END), 6) AS recall_at_k, round(avg(CASE WHEN hit <= 3 THEN 1.0 / hit ELSE 0 END), 6) AS mrr_at_k, CAST(NULL AS DOUBLE) AS exact_match FROM h"""
+    found["store_upsert"] = """SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN 'new' ELSE text END) AS digest FROM documents
+    UNION ALL SELECT doc_id + 1000000000, md5(text) FROM documents WHERE doc_id % 11 = 0"""
+    found["resume_remaining"] = "SELECT item_id AS qid, length(text) AS n FROM benchmark WHERE item_id % 3 <> 0"
+    found["evalset_contexts"] = """WITH r AS (SELECT CASE WHEN n_nationkey < 20 THEN r_name ELSE 'table-' || n_nationkey END AS source, n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+    SELECT source, '| key | nation |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || min(n_nationkey) || ' | ' || arg_min(n_name, n_nationkey) || ' |' AS text, count(*) AS n_samples FROM r GROUP BY source"""
+    found["baseline_chunks"] = """SELECT r_name AS source, i, CASE i WHEN 0 THEN '====' || chr(10) || 'NATIONS - ' || r_name ELSE 'n_nationkey,n_name,n_regionkey' || chr(10) || (SELECT min(n_nationkey) || ',' || arg_min(n_name, n_nationkey) || ',' || min(n_regionkey) FROM nation WHERE n_regionkey = r_regionkey) END AS preview
+    FROM region CROSS JOIN (VALUES (0), (1)) AS t(i)"""
+    found["render_blocks"] = """SELECT p_brand AS section, md5('### ' || p_brand || chr(10) || '| p_partkey | p_type | p_size |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || p_partkey || ' | ' || p_type || ' | ' || p_size || ' |', chr(10) ORDER BY p_partkey) || chr(10) || 'Notes: checked') AS digest FROM part GROUP BY p_brand"""
     return found

@@ -13,6 +13,7 @@ from .plans import sandbox
 from .plans.guard import check_plan, check_text
 from .relational import RELATIONAL, TABLES
 from .session import configure
+from .sources import evalsets, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -243,6 +244,42 @@ def rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("dataset", "num_samples", F.round("recall_at_k", 6).alias("recall_at_k"), F.round("mrr_at_k", 6).alias("mrr_at_k"), "exact_match")
 
 
+# stores, evaluation sets, rendering
+
+
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block store with every seventh document replaced and some new ones put in."""
+    old = table(spark, sf_dir, "documents").select("doc_id", F.array("doc_id").alias("seq"), "text")
+    new = old.where("doc_id % 7 = 0").select("doc_id", "seq", F.lit("new").alias("text")).union(old.where("doc_id % 11 = 0").select((F.col("doc_id") + 10**9).alias("doc_id"), "seq", "text"))
+    return store.upsert(old, new).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = questions(spark, sf_dir)
+    return store.remaining(asked, asked.where("qid % 3 = 0"), "qid").select("qid", F.length("question").cast("long").alias("n"))
+
+
+def evalset_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table records named by region: the first nation's table stays for each."""
+    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    grid = F.struct(F.when(F.col("n_nationkey") < 20, F.col("r_name")).otherwise("").alias("name"), F.array(F.lit("key"), F.lit("nation")).alias("header"), F.array(F.array(F.col("n_nationkey").cast("string"), "n_name")).alias("rows"))
+    records = both.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("question"), F.array("n_name").alias("answers"), grid.alias("table"), F.col("n_nationkey").alias("ord"))
+    samples, contexts = evalsets.wtq(records)
+    named = samples.groupBy(F.col("golden_sources")[0].alias("source")).agg(F.count("*").alias("n_samples"))
+    return contexts.join(named, "source")
+
+
+def baseline_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the rendered region documents for the baseline, with their previews."""
+    docs = rendered(spark, sf_dir, "csv").select("source", F.posexplode(tfidf.chunks(F.col("text"))).alias("i", "chunk"))
+    return docs.select("source", "i", tfidf.preview(F.col("chunk"), 2).alias("preview"))
+
+
+def render_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of each brand as prompt text."""
+    return parts_table(spark, sf_dir).withColumn("context_notes", F.lit("checked")).select("section", F.md5(summary.rendered().cast("binary")).alias("digest"))
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {f"rel_{name}": guarded(sql) for name, (sql, _) in RELATIONAL.items()}
     found |= {"rel_asof": rel_asof, "rel_pivot": rel_pivot}
@@ -250,4 +287,5 @@ def queries() -> dict[str, Query]:
     found |= {f"dense_{m}": dense_topk(m) for m in vector.METRICS}
     found |= {f"parse_{kind}": parse_table(kind) for kind in ("tsv", "csv", "pipe")} | {"parse_plain": parse_plain}
     found |= {"chunk_tables": chunk_tables, "chunk_text": chunk_text, "sentence_counts": sentence_counts, "summary_text": summary_text, "summary_table": summary_table}
+    found |= {"store_upsert": store_upsert, "resume_remaining": resume_remaining, "evalset_contexts": evalset_contexts, "baseline_chunks": baseline_chunks, "render_blocks": render_blocks}
     return found | {"infer_types": infer_types, "sanitize": sanitize, "sandbox_sql": sandbox_sql, "route_turns": route_turns, "numbers": numbers, "answers": answers, "rank_metrics": rank_metrics}
