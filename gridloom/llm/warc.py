@@ -50,10 +50,12 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     )
 
 
-def write_archives(resolved: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
+def write_archives(resolved: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip", file_records: int = 2048) -> None:
     """Write the records of ``resolve_revisits`` as WARC/1.1 files under ``path``, headers made anew.
 
-    Line breaks in a url are percent-encoded, so no value can end a header.
+    Line breaks in a url are percent-encoded, so no value can end a header.  A file has
+    ``file_records`` records at most, so that it can be read in one task however large a
+    partition is.
     """
     clean = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
     revisit = F.col("record_type") == "revisit"
@@ -65,7 +67,7 @@ def write_archives(resolved: DataFrame, path: str, date: str = "1970-01-01T00:00
         F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: <{ID}"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.when(revisit, "0").otherwise(F.col("payload_bytes").cast("string")), F.lit(END),
     )
-    resolved.select(F.concat(head, F.when(revisit, "").otherwise(F.col("html"))).alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
+    resolved.select(F.concat(head, F.when(revisit, "").otherwise(F.col("html"))).alias("value")).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", file_records).text(path)
 
 
 def records(raw: bytes) -> Iterator[tuple]:
@@ -87,7 +89,7 @@ def records(raw: bytes) -> Iterator[tuple]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record under ``path``; a response's digest is taken from its payload again.
 
-    A file is one task's share (as long as a shuffle partition), so it fits in a task.
+    A file is read whole; ``write_archives`` bounds its records.
     """
     names = [x.split()[0] for x in READ.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]

@@ -130,6 +130,14 @@ def test_warc(spark, tmp_path):
     assert warc.archive_pages(df.limit(0)).collect() == []
 
 
+def test_warc_files_are_bounded(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"http://a/{i}", f"page {i}") for i in range(10)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    warc.write_archives(warc.resolve_revisits(df), path, file_records=3)
+    assert len(list((tmp_path / "w").glob("part-*"))) >= 4
+    assert sorted(r.page_id for r in warc.read_archives(spark, path).collect()) == list(range(10))
+
+
 # fingerprints
 
 
