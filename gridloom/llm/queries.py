@@ -89,7 +89,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from corpus_pipeline import ORACLE_SQL
 
-    return {"op2_warc": WARC_SQL, "op6_topk": TOPK_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    found = {"op2_warc": WARC_SQL, "op6_topk": TOPK_SQL, "op7_urls": URLS_SQL, "op10_jaccard": JACCARD_SQL}
+    return found | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
 
 
 WARC_SQL = """
@@ -113,3 +114,74 @@ WITH v AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
+
+#: the same patterns and rules as the operator; components by a recursive closure, for few links only
+URLS_SQL = r"""
+WITH RECURSIVE rules AS (SELECT * FROM (VALUES %s) AS t(verdict, h, p)),
+pg AS (SELECT row_number() OVER () AS rid, page_id, url, html, instr(url, '://') AS sep FROM pages),
+links AS (
+  SELECT url, regexp_extract(html, '%s') AS tag, regexp_extract(regexp_extract(html, '%s'), '%s', 1) AS refresh
+  FROM pg WHERE url IS NOT NULL AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))
+),
+targets AS (
+  SELECT url, coalesce(nullif(regexp_extract(tag, '%s', 1), ''), nullif(regexp_extract(tag, '%s', 2), ''), nullif(regexp_extract(tag, '%s', 3), '')) AS t FROM links
+  UNION ALL SELECT url, nullif(refresh, '') FROM links
+),
+clean AS (SELECT url, replace(trim(t), '&amp;', '&') AS t, regexp_extract(url, '(?s)^[A-Za-z][\w+.-]*://[^/?#]*') AS site FROM targets),
+whole AS (
+  SELECT url AS a, CASE WHEN contains(t, '://') THEN t
+    WHEN starts_with(t, '//') THEN regexp_extract(url, '^([A-Za-z][\w+.-]*):', 1) || ':' || t
+    WHEN starts_with(t, '/') AND site <> '' THEN site || t END AS b FROM clean
+),
+bare AS (SELECT regexp_replace(a, '(?s)#.*$', '') AS a, regexp_replace(b, '(?s)#.*$', '') AS b FROM whole WHERE b IS NOT NULL),
+fronts AS (SELECT a, b, regexp_extract(a, '(?s)^[^:]*://[^/?]*') AS fa, regexp_extract(b, '(?s)^[^:]*://[^/?]*') AS fb FROM bare),
+edges AS (SELECT DISTINCT lower(fa) || substring(a, length(fa) + 1) AS a, lower(fb) || substring(b, length(fb) + 1) AS b FROM fronts),
+both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+split AS (
+  SELECT 'page' AS kind, CAST(rid AS VARCHAR) AS id, url, sep FROM pg
+  UNION ALL SELECT DISTINCT 'node', a, a, instr(a, '://') FROM both_ways
+),
+parts AS (
+  SELECT kind, id, CASE WHEN url IS NULL OR sep = 0 THEN '' ELSE translate(regexp_extract(substring(url, sep + 3), '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host,
+         CASE WHEN url IS NULL OR sep = 0 THEN '' ELSE regexp_extract(substring(url, sep + 3), '(?s)^[^/?#]*([^?#]*)', 1) END AS path
+  FROM split
+),
+judged AS (
+  SELECT kind, id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS own
+  FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL
+),
+blocked AS (
+  SELECT r.a AS node FROM reach r JOIN judged j ON j.kind = 'node' AND j.id = r.b
+  GROUP BY r.a HAVING bool_or(j.own = 'block') AND NOT coalesce(bool_or(j.own = 'allow'), false)
+),
+named AS (SELECT rid, page_id, regexp_replace(url, '(?s)#.*$', '') AS bare, regexp_extract(regexp_replace(url, '(?s)#.*$', ''), '(?s)^[^:]*://[^/?]*') AS front FROM pg)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN node IS NOT NULL THEN 'block' END, 'allow') AS verdict, node IS NOT NULL AS alias_blocked
+FROM named JOIN judged ON kind = 'page' AND id = CAST(rid AS VARCHAR)
+LEFT JOIN blocked ON node = lower(front) || substring(bare, length(front) + 1)
+""" % (
+    ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES),
+    *(x.replace("'", "''") for x in (urlfilter.CANONICAL, urlfilter.REFRESH, urlfilter.TARGET, urlfilter.HREF, urlfilter.HREF, urlfilter.HREF)),
+)
+
+#: all pairs of distinct sets that share a shingle: for small tables
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT rid, doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM w
+),
+sized AS (SELECT rid, doc_id, s, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(s, chr(10))) AS digest FROM s),
+classes AS (SELECT digest, any_value(s) AS s, any_value(n) AS n, min(doc_id) AS least FROM sized WHERE n > 0 GROUP BY digest),
+tokens AS (SELECT digest, n, unnest(s) AS shingle FROM classes),
+pairs AS (
+  SELECT a.digest AS a, b.digest AS b FROM tokens a JOIN tokens b ON a.shingle = b.shingle AND a.digest < b.digest AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.digest, b.digest HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+),
+both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(a, b) AS (SELECT digest, digest FROM classes UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+named AS (SELECT r.a AS digest, min(c.least) AS component FROM reach r JOIN classes c ON c.digest = r.b GROUP BY r.a)
+SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id FROM sized LEFT JOIN named ON named.digest = sized.digest AND n > 0
+"""

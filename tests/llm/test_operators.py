@@ -425,3 +425,37 @@ def test_jaccard_large_ball(spark):
 
 def test_jaccard_empty(none):
     assert jaccard.jaccard_components(none).collect() == []
+
+
+PAGES = [
+    (1, "https://a.net/start", '<meta http-equiv="refresh" content="0; url=https://b.com/de/x">' + "x" * 1000),
+    (2, "https://b.com/de/x", "<p>blocked</p>"),
+    (3, "HTTPS://A.net/start#top", '<link rel="canonical" href="//b.com/de/x">'),
+    (4, "http://c.example.org/en/12?q", "<p>blocked by the longer rule</p>"),
+    (5, "http://c.example.org/en/2", "<link rel=canonical href='/es/1'>"),
+    (6, "http://c.example.org/es/1", "blocked by its rule, its component is allowed"),
+    (7, "ftp://x.com:80/de/", "another host, with its port"),
+    (8, None, "é" * 800),
+    (9, "no scheme", "é" * 800),
+    (10, "http://d.net", None),
+    (10, "http://d.net", None),
+    (11, "http://ORG/\ny", ""),
+]
+
+
+@pytest.mark.parametrize("name", ["op2_warc", "op6_topk", "op7_urls", "op10_jaccard"])
+def test_query_is_its_sql(spark, rows, name, tmp_path):
+    import duckdb
+
+    pages = PAGES if name == "op7_urls" else PAGES[:10]  # op2 wants unique ids, and escapes line breaks in an address
+    vectors = [(i, [((i * 7 + j) % 11) / 8 - 0.5 for j in range(4)]) for i in range(120)] + [(150, None), (200, [0.1, None, 0.2, 0.3]), (250, [float("nan")] * 4)]
+    connection = duckdb.connect()
+    tables = {"pages": (pages, "page_id long, url string, html string"), "documents": (rows, "doc_id long, text string, lang string, source string"), "embeddings": (vectors, "vec_id long, embedding array<float>")}
+    for table, (held, schema) in tables.items():
+        spark.createDataFrame(held, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    got = queries.queries()[name](spark, str(tmp_path))
+    columns = sorted(got.columns)
+    want = connection.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want))
+    assert got.count() > 0
