@@ -109,7 +109,7 @@ def oracle_sql() -> dict[str, str]:
     found["sandbox_sql"] = "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS total, min(n_name) AS first_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_regionkey"
     asked = "['What is the total of ', 'Who wrote ', 'How many in ', 'Per item: ', 'The rated '][turn % 5 + 1] || text"
     found["route_turns"] = f"SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '{compute_pattern()}') THEN 'compute' ELSE 'lookup' END AS route, CASE WHEN regexp_matches(lower({asked}), '{compute_pattern(['wrote'], [PATTERNS[13]])}') THEN 'compute' ELSE 'lookup' END AS asked_route FROM conversations"
-    found["numbers"] = f"SELECT conv_id, turn, CAST(len({NUMBERS}) AS BIGINT) AS n, round(coalesce(list_max({NUMBERS}), 0), 4) AS largest FROM (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT doc_id, -1, text FROM documents)"
+    found["numbers"] = f"SELECT conv_id, turn, CAST(len({NUMBERS}) AS BIGINT) AS n, coalesce(list_max({NUMBERS}), 0.0) AS largest FROM (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT doc_id, -1, text FROM documents)"
     found["answers"] = "SELECT o_orderkey, o_orderkey % 4 IN (0, 1, 3) AS any_match, false AS all_match FROM orders WHERE o_orderkey % 3 = 0"
     found["rank_metrics"] = f"""WITH {VECTORS}, s AS (SELECT q.vec_id AS qid, q.label AS ql, d.vec_id AS doc_id, d.label AS dl, {DENSE['cosine']} AS exact FROM v q JOIN v d ON true WHERE q.vec_id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY exact DESC, doc_id) AS rank FROM s QUALIFY rank <= 5),

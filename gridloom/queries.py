@@ -222,7 +222,7 @@ def route_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = match.numbers_in(F.col("text"))
-    return table(spark, sf_dir, "conversations").union(table(spark, sf_dir, "documents").select("doc_id", F.lit(-1), F.lit("d"), "text")).select("conv_id", "turn", F.size(found).cast("long").alias("n"), F.round(F.coalesce(F.array_max(found), F.lit(0.0)), 4).alias("largest"))
+    return table(spark, sf_dir, "conversations").union(table(spark, sf_dir, "documents").select("doc_id", F.lit(-1), F.lit("d"), "text")).select("conv_id", "turn", F.size(found).cast("long").alias("n"), F.coalesce(F.array_max(found), F.lit(0.0)).alias("largest"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
