@@ -93,7 +93,7 @@ def test_registered_query(spark, name):
     sql = queries.oracle_sql().get(name)
     if sql:
         connection = duckdb.connect()
-        for t in ("pages", "embeddings"):
+        for t in ("documents", "pages", "embeddings"):
             connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
         other = connection.execute(sql).df()
         key = lambda df: sorted(map(str, df[sorted(df.columns)].fillna(-1).astype(str).replace(r"\.0$", "", regex=True).values.tolist()))
