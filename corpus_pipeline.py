@@ -32,10 +32,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without words are no one's duplicates, those without a doc_id are kept;
     of rows that repeat both doc_id and text one is kept.
     """
+    docs = docs.select(*COLUMNS)
     parts = jaccard.jaccard_components(docs, k=5, percent=80)
-    stay = parts.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("stays")).distinct()
-    named = docs.select(*COLUMNS).where("doc_id is not null").join(stay, F.col("doc_id") == F.col("stays")).drop("stays")
-    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    stays = F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)
+    ids = parts.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max(stays).alias("stays"), (F.count("*") > 1).alias("repeats"))
+    ids, _ = materialize(ids.where("stays"), "kept-ids")
+    # ids are the hashed side, so texts are dealt out but not sorted; only repeated ids can have rows to drop
+    once = docs.join(ids.where("not repeats").select("id").hint("shuffle_hash"), F.col("doc_id") == F.col("id")).drop("id")
+    more = docs.join(ids.where("repeats").select("id"), F.col("doc_id") == F.col("id")).drop("id").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(more).unionByName(docs.where("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
