@@ -23,22 +23,38 @@ from .common import materialize
 
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
+
+def spdx(name: str) -> tuple[str, ...]:
+    """SPDX headers of a GNU license."""
+    return tuple(f"SPDX-License-Identifier: {name}{end}" for end in ("", "-only", "-or-later"))
+
+
+def creative_commons(short: str, long: str) -> tuple[str, ...]:
+    return (f"This work is licensed under a Creative Commons {long} 4.0 International License.", f"Licensed under CC {short} 4.0.", f"SPDX-License-Identifier: CC-{short}-4.0")
+
+
 #: License names and the sentences by which files state them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    "GPL-2.0": ("Licensed under the GNU General Public License, version 2.", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2"),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
-    "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",),
-    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0 Universal.",),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
-    "Proprietary": ("All rights reserved. No part may be reproduced without permission.",),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "SPDX-License-Identifier: MIT"),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", *spdx("GPL-3.0")),
+    "GPL-2.0": ("Licensed under the GNU General Public License, version 2.", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2", *spdx("GPL-2.0")),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", *spdx("LGPL-3.0")),
+    "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1.", *spdx("LGPL-2.1")),
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", *spdx("AGPL-3.0")),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
+    "CC-BY-4.0": creative_commons("BY", "Attribution"),
+    "CC-BY-SA-4.0": creative_commons("BY-SA", "Attribution-ShareAlike"),
+    "CC-BY-ND-4.0": creative_commons("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-NC-4.0": creative_commons("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-NC-SA-4.0": creative_commons("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-4.0": creative_commons("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
+    "Proprietary": ("All rights reserved. No part may be reproduced without permission.", "All rights reserved."),
 }
 
 
