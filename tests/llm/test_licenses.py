@@ -44,3 +44,26 @@ def test_every_license_line_of_the_table_is_found(spark):
     got = {r.doc_id: r.license for r in queries.op4_licenses(spark, SMALL).where("origin = 'own'").select("doc_id", "license").collect()}
     assert len(wanted) > 40 and set(got) == set(wanted)
     assert all(got[d] in names for d, names in wanted.items())
+
+
+def test_statement_within_other_words(spark):
+    filler = "foo bar baz qux " * 40
+    texts = [f"{filler}Released under the MIT License. {filler}", "Copyright 2020 Foo. Released under the MIT License. See the LICENSE file for the details of it.", f"/* Licensed under the Apache\n * License, Version 2.0.\n */ {filler}", "Copyright 2020 Foo. All rights reserved.\nLicensed under CC BY 4.0.", "Mit.", "It and.", f"mit der {filler} license", filler]
+    df = spark.createDataFrame([(i, f"d{i}/x", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = [r.license for r in licenses.scan_licenses(df).orderBy("doc_id").collect()]
+    assert got == ["MIT", "MIT", "Apache-2.0", "CC-BY-4.0", None, None, None, None]
+
+
+def test_full_texts_pass_on_their_license(spark):
+    texts = {name: text for name, (text,) in licenses.full_texts().items()}
+    assert {"MIT", "AGPL-3.0", "GPL-3.0", "Apache-2.0", "BSD-3-Clause"} <= set(texts)
+    files = [(name, text.replace("<copyright holders>", "Jane Doe and many others").replace("<year>", "2021")) for name, text in texts.items()]
+    files += [("MIT", "Part one is ours, by this license, which we like.\n\n" + texts["MIT"] + "\n\nPart two is under this one.\n\n" + texts["BSD-2-Clause"]), ("CC-BY-NC-4.0", texts["CC-BY-SA-4.0"].replace("ShareAlike", "NonCommercial"))]
+    rows = [(2 * i, f"p{i}/LICENSE", text) for i, (_, text) in enumerate(files)] + [(2 * i + 1, f"p{i}/src/code", "x = 1") for i in range(len(files))]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    two = len(files) - 2
+    for i, (name, _) in enumerate(files):
+        allowed = {"MIT", "BSD-2-Clause", "BSD-3-Clause"} if i == two else {name}
+        own, below = got[2 * i], got[2 * i + 1]
+        assert own.license in allowed and own.license_file and own.origin == "own", (name, own)
+        assert (below.license, below.origin, below.inherited_from) == (own.license, "inherited", f"p{i}/LICENSE")
