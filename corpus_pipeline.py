@@ -29,34 +29,45 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least doc_id of each group that shares 80 % of its five-word shingles.
 
-    Documents without words are no one's duplicates, those without a doc_id are kept;
-    of rows that repeat both doc_id and text one is kept.
+    Documents without words are no one's duplicates.  A document without a doc_id goes by
+    a number that its text gives, above usual ids, so that one with a doc_id is kept
+    rather; of rows that repeat both doc_id and text one is kept.
     """
     docs = docs.select(*COLUMNS)
-    parts = jaccard.jaccard_components(docs, k=5, percent=80)
-    stays = F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)
-    ids = parts.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max(stays).alias("stays"), (F.count("*") > 1).alias("repeats"))
+    given = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(2**62))
+    blank = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False))
+    named = docs.where(~blank).select(F.coalesce("doc_id", given).alias("doc_id"), *COLUMNS[1:], F.col("doc_id").isNull().alias("nameless"))
+    parts = jaccard.jaccard_components(named, k=5, percent=80)
+    stays = (F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)
+    ids = parts.groupBy(F.col("doc_id").alias("id")).agg(F.max(stays).alias("stays"), (F.count("*") > 1).alias("repeats"))
     ids, _ = materialize(ids.where("stays"), "kept-ids")
     # ids are the hashed side, so texts are dealt out but not sorted; only repeated ids can have rows to drop
-    once = docs.join(ids.where("not repeats").select("id").hint("shuffle_hash"), F.col("doc_id") == F.col("id")).drop("id")
-    more = docs.join(ids.where("repeats").select("id"), F.col("doc_id") == F.col("id")).drop("id").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(more).unionByName(docs.where("doc_id is null"))
+    once = named.join(ids.where("not repeats").select("id").hint("shuffle_hash"), F.col("doc_id") == F.col("id")).drop("id")
+    more = named.join(ids.where("repeats").select("id"), F.col("doc_id") == F.col("id")).drop("id").dropDuplicates(["doc_id", "text"])
+    kept = once.unionByName(more).select(F.when(~F.col("nameless"), F.col("doc_id")).alias("doc_id"), *COLUMNS[1:])
+    return kept.unionByName(docs.where(blank))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and drop documents so that each source has its share of words.
 
     A document taken once and a half is one whole copy and its first half of words,
-    joined by single spaces.  Rows that share doc_id and source are taken alike.
+    joined by single spaces.  Each row is taken as the mix says, whatever rows share its
+    doc_id; only rows alike in all columns are counted together.
     """
-    docs = docs.select(*COLUMNS)
-    every = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("from"))
-    taken = every.agg(F.max("size").alias("size"), F.floor(F.avg("taken")).alias("taken")).where("taken > 0")
-    copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("copy")
-    chosen = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("from"))).select(*COLUMNS, "size", "taken", copies)
-    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
-    cut = F.array_join(F.slice(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != ""), 1, F.greatest(words, F.lit(0)).cast("int")), " ")
-    text = F.when(words < F.col("size"), cut).otherwise(F.col("text"))
+    docs = docs.select(*COLUMNS).withColumn("key", F.xxhash64("text", "lang", F.col("lang").isNull(), "n_chars"))
+    each = mixing.mix_sources(docs, key="key").withColumn("whole", F.coalesce(F.expr("taken div nullif(size, 0)"), F.lit(0)))
+    # the mix cuts one row of a source at most, so a part is of one row
+    every = each.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("from"), F.col("key").alias("k"), "size")
+    taken, _ = materialize(every.agg(F.sum("whole").alias("whole"), F.max(F.col("taken") - F.col("whole") * F.col("size")).alias("part"), F.count("*").alias("n")).where("whole > 0 or part > 0"), "taken")
+    # written apart: usually none, and then sent to the texts rather than these dealt out again
+    repeated, _ = materialize(taken.where("n > 1"), "taken-repeated")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("from")) & (F.col("key") == F.col("k"))
+    alike = docs.join(repeated, same).dropDuplicates(["id", "from", "k", "size"])
+    chosen = docs.join(taken.where("n = 1"), same).unionByName(alike)
+    chosen = chosen.select(*COLUMNS, "size", "whole", "part", F.explode(F.sequence(F.lit(1), (F.col("whole") + F.signum("part")).cast("int"))).alias("copy"))
+    cut = F.array_join(F.slice(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != ""), 1, F.col("part").cast("int")), " ")
+    text = F.when(F.col("copy") > F.col("whole"), cut).otherwise(F.col("text"))
     return chosen.select("doc_id", text.alias("text"), "lang", "source", "n_chars").withColumn("n_chars", F.char_length("text").cast("long"))
 
 

@@ -85,7 +85,7 @@ def solve_tilts(pairs: DataFrame, targets: DataFrame, most: int, tolerance: floa
     return state, path
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, rows_per_share: int = 1024) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, rows_per_share: int = 1024, key: str | None = None) -> DataFrame:
     """Words the mix takes of every row of ``docs`` (doc_id, text, source).
 
     Cases: null text has size 0 and takes nothing, as has a source without words;
@@ -95,10 +95,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
 
     A (source, size) pair may hold a third of all rows: its rows are dealt into shares
     of about ``rows_per_share`` by hash, and copies are rounded share by share.
+    ``key`` names a column that tells rows of one doc_id apart; it is returned too.
     """
     spark = docs.sparkSession
+    ids = ["doc_id", *([key] if key else [])]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized, _ = materialize(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    sized, _ = materialize(docs.select(*ids, "source", size.alias("size")), "sizes")
     pairs, pairs_path = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "pairs")
     tilts, tilts_path = solve_tilts(pairs, source_targets(pairs, weights, share, most), most)
     # rounded, so that the order in which a cluster adds doubles cannot show
@@ -107,24 +109,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     rated, rated_path = materialize(rated, "rated")
     drop(spark, tilts_path)
     drop(spark, pairs_path)
-    part = F.pmod(F.xxhash64("doc_id"), F.col("shares").cast("long")).cast("int")
+    part = F.pmod(F.xxhash64(*ids), F.col("shares").cast("long")).cast("int")
     keyed = sized.join(rated.withColumnRenamed("source", "s").withColumnRenamed("size", "z"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
-    keyed = keyed.select("doc_id", "source", "size", "source_size", "target", "micro", part.alias("share"))
-    key = ["source", "size", "share"]
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
+    keyed = keyed.select(*ids, "source", "size", "source_size", "target", "micro", part.alias("share"))
+    group = ["source", "size", "share"]
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(*ids, F.lit(7)), *ids))
     ranked, _ = materialize(keyed.withColumn("rank", rank), "ranked")
-    counts = ranked.groupBy(*key).agg(F.count("*").alias("rows"), F.first("micro").alias("micro"))
+    counts = ranked.groupBy(*group).agg(F.count("*").alias("rows"), F.first("micro").alias("micro"))
     # systematic rounding: cumulative rates along each source, in halves offset
     along = Window.partitionBy("source").orderBy("size", "share")
     upto = F.sum(F.col("rows") * F.col("micro")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     whole = counts.withColumn("upto", upto).withColumn("copies", F.floor((F.col("upto") + 500_000) / 10**6) - F.floor((F.col("upto") - F.col("rows") * F.col("micro") + 500_000) / 10**6))
-    whole = whole.select(*[F.col(c).alias(f"_{c}") for c in key], "copies", "rows")
+    whole = whole.select(*[F.col(c).alias(f"_{c}") for c in group], "copies", "rows")
     same = F.lit(True)
-    for c in key:
+    for c in group:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     base = F.floor(F.col("copies") / F.col("rows"))
     given = ranked.join(whole, same).withColumn("n_copies", F.least(F.lit(most), base + F.when(F.col("rank") <= F.col("copies") - base * F.col("rows"), 1).otherwise(0)))
-    given, _ = materialize(given.select("doc_id", "source", "size", "source_size", "target", "share", "rank", (F.col("n_copies") * F.col("size")).alias("taken")), "copies")
+    given, _ = materialize(given.select(*ids, "source", "size", "source_size", "target", "share", "rank", (F.col("n_copies") * F.col("size")).alias("taken")), "copies")
     # the rest of each source goes to, or comes off, the one document with most room for it
     name = F.struct("size", "share", "rank")
     rest = given.groupBy("source").agg(
@@ -135,4 +137,4 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     rest = rest.withColumn("use", F.when(F.col("rest") > 0, F.col("more")).otherwise(F.col("less"))).where("rest <> 0").select(F.col("source").alias("s"), F.col("use.at").alias("at"), (F.signum("rest") * F.least(F.abs("rest"), F.col("use.room"))).cast("long").alias("change"))
     final = given.join(rest, F.col("source").eqNullSafe(F.col("s")), "left")
     drop(spark, rated_path)
-    return final.select("doc_id", "size", "source_size", "target", (F.col("taken") + F.when(F.col("at") == name, F.col("change")).otherwise(0)).alias("taken"), "source")
+    return final.select("doc_id", "size", "source_size", "target", (F.col("taken") + F.when(F.col("at") == name, F.col("change")).otherwise(0)).alias("taken"), "source", *ids[1:])
