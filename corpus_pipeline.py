@@ -16,14 +16,22 @@ from gridloom.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.3  #: of four languages at random one would get a quarter
+ABOVE_CHANCE = 1.2  #: the same over chance, where more languages share the score
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter (``und``) and those that fit no learned language better than chance."""
+    """Drop documents without a letter (``und``) and those that fit no learned language better than chance.
+
+    The least score falls with the number of learned languages; where no row has a lang,
+    nothing is learned and all documents with a letter stay.
+    """
     docs = docs.select(*COLUMNS)
     langs, log_p = langid.fit(docs)
+    if not langs:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    least = min(LEAST_SCORE, ABOVE_CHANCE / len(langs))
     named = langid.predict(docs, langs, log_p)
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

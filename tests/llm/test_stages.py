@@ -41,3 +41,21 @@ def test_rows_without_an_id_are_deduplicated(spark):
     got = Counter((r.doc_id, r.text) for r in kept.collect())
     assert got.pop((None, long), 0) + got.pop((None, near), 0) == 1
     assert got == {(None, words("z", 40)): 1, (5, words("q", 30)): 1, (None, None): 1, (None, " "): 1}
+
+
+def kept_texts(spark, rows):
+    kept, _ = materialize(pipeline.keep_identified(spark, spark.createDataFrame(rows, SCHEMA), ""), "language_id")
+    return Counter(r.text for r in kept.collect())
+
+
+def test_documents_stay_where_no_language_is_known(spark):
+    rows = [(1, "abc def", None, "a", 7), (2, "é", None, None, 1), (3, "12 !", None, "a", 4), (4, None, None, "a", None)]
+    assert kept_texts(spark, rows) == {"abc def": 1, "é": 1}
+
+
+def test_documents_of_close_languages_stay(spark):
+    """Four of twelve languages share their words, and so the score of each of their documents."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    text = lambda i: "the same words in four of them" if i < 4 else " ".join(alphabet[i + 5] * k + alphabet[i + 10] * k for k in range(1, 7))
+    rows = [(12 * j + i, text(i), f"l{i:02}", "a", 30) for i in range(12) for j in range(4)]
+    assert kept_texts(spark, rows)[text(0)] == 16
