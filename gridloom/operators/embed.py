@@ -1,15 +1,18 @@
-"""Embedders: sparse hashed tokens in SQL, or any callable in Arrow batches."""
+"""Embedders: sparse hashed tokens, or any callable, in Arrow batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
-from ..functions.python import with_python
+from ..functions.python import grouped, with_python
 from ..functions.text import hash_tokens
 
 DIMS = 512
@@ -45,11 +48,30 @@ def hash_index(token: Column, dims: int = DIMS) -> Column:
     return (F.conv(turned, 16, 10).cast("long") % dims).cast("int")
 
 
+def sparse_vectors(texts: DataFrame, key: str = "doc_id", text: str = "text", dims: int = DIMS) -> DataFrame:
+    """Sparse unit vectors of hashed token counts as arrays (key, idx, w) of one row, idx ascending.
+
+    Tokens are found by Spark and counted in Arrow batches: a function of one row, so
+    nothing is shuffled.  A text without tokens has empty arrays.
+    """
+    schema = texts.select(key).schema.add("idx", ArrayType(IntegerType())).add("w", ArrayType(DoubleType()))
+
+    def place(known: pa.Array) -> np.ndarray:
+        return np.fromiter((int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "little") % dims for t in known.to_pylist()), dtype=np.int64, count=len(known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at, counts, offsets, _ = grouped(batch.column(1), place)
+            squares = np.bincount(row, weights=counts.astype(np.float64) ** 2, minlength=batch.num_rows)
+            w = counts / np.sqrt(squares[row])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(w, pa.float64()))], names=[key, "idx", "w"])
+
+    return texts.select(key, hash_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).mapInArrow(run, schema)
+
+
 def hash_vectors(texts: DataFrame, key: str = "doc_id", text: str = "text", dims: int = DIMS) -> DataFrame:
-    """Sparse unit vectors (key, idx, w) of hashed token counts."""
-    counted = texts.select(key, F.explode(hash_tokens(F.coalesce(F.col(text), F.lit("")))).alias("token")).groupBy(key, hash_index(F.col("token"), dims).alias("idx")).agg(F.count("*").alias("n"))
-    norms = counted.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counted.join(norms, key).select(key, "idx", (F.col("n") / F.col("norm")).alias("w"))
+    """``sparse_vectors`` a row for each index: (key, idx, w)."""
+    return sparse_vectors(texts, key, text, dims).select(key, F.explode(F.arrays_zip("idx", "w")).alias("e")).select(key, "e.idx", "e.w")
 
 
 def embed_texts(texts: DataFrame, embedder: Embedder, key: str = "doc_id", text: str = "text") -> DataFrame:

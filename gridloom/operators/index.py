@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.python import first_k
+from ..functions.text import lexical_tokens
 from ..functions.vector import metric
-from .embed import DIMS, Embedder, embed_texts, hash_vectors
-from .lexical import idf, lexical_scores, postings
+from ..sources.staging import drop, materialize
+from .embed import DIMS, Embedder, embed_texts, sparse_vectors
+from .lexical import HELD_QUESTIONS, idf, lexical_scores
 from .summary import summarize
 
 MULTIPLE, LEAST = 4, 50
@@ -45,49 +49,43 @@ def dense_search(questions: DataFrame, vectors: DataFrame, similarity: str = "co
     return ranked(both, k, steady("semantic"), F.col(seq)).select("qid", "rank", "doc_id", seq, "semantic")
 
 
-#: questions that one task scores at once; larger batches are joined by index
-HELD_QUESTIONS = 2048
+def sparse_search(questions: DataFrame, documents: DataFrame, similarity: str = "cosine", k: int | None = 3, dims: int = DIMS) -> DataFrame:
+    """``dense_search`` for sparse unit vectors: questions (qid, idx, w) and documents (doc_id, seq, idx, w) with arrays below ``dims``.
 
-
-def sparse_search(questions: DataFrame, documents: DataFrame, order: DataFrame, similarity: str = "cosine", k: int | None = 3, dims: int = DIMS) -> DataFrame:
-    """``dense_search`` for sparse unit vectors (id, idx, w) below ``dims``; documents of ``order`` (doc_id, seq) without one score as zeros.
-
-    Up to ``HELD_QUESTIONS`` questions go with the tasks as one matrix, and each batch
-    of documents passes on its own first ``k`` per question.  More questions are
-    joined to documents on shared indices.
+    Documents that share no index with a question score as zeros.  Up to
+    ``HELD_QUESTIONS`` questions (counted) go with the tasks as one matrix, and each
+    batch of documents passes on its own first ``k`` per question: documents are not
+    shuffled.  More questions are joined to documents on shared indices.
     """
     metric(similarity)
     apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot")))
     semantic = 1 / (1 + apart) if similarity == "euclidean" else F.col("dot")
-    asked = questions.groupBy("qid").agg(F.collect_list("idx").alias("idx"), F.collect_list("w").alias("w")).limit(HELD_QUESTIONS + 1)
-    held = asked.collect() if k is not None else []
+    held = questions.select("qid", "idx", "w").limit(HELD_QUESTIONS + 1).collect() if k is not None else []
     if k is not None and len(held) <= HELD_QUESTIONS:
-        dots = _scored(held, questions.schema["qid"].dataType, documents, order, k, dims)
+        dots = _scored(held, questions.schema["qid"].dataType, documents, k, dims)
     else:
-        dots = _joined(questions, documents, order, k)
+        dots = _joined(questions, documents, k)
     return ranked(dots.withColumn("semantic", semantic), k, steady("semantic"), F.col("seq")).select("qid", "rank", "doc_id", "seq", "semantic")
 
 
-def _joined(questions: DataFrame, documents: DataFrame, order: DataFrame, k: int | None) -> DataFrame:
+def _joined(questions: DataFrame, documents: DataFrame, k: int | None) -> DataFrame:
     """(qid, doc_id, seq, dot) of documents with a shared index, and of the first others."""
-    q, d = questions.select("qid", "idx", F.col("w").alias("qw")), documents.select("doc_id", "idx", F.col("w").alias("dw"))
-    dots = d.join(q, "idx").groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
-    everyone = order.select("doc_id", "seq")
+    each = lambda df, key, w: df.select(key, F.explode(F.arrays_zip("idx", "w")).alias("e")).select(key, F.col("e.idx").alias("idx"), F.col("e.w").alias(w))
+    dots = each(documents, "doc_id", "dw").join(each(questions, "qid", "qw"), "idx").groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
+    everyone = documents.select("doc_id", "seq")
     fill = everyone if k is None else everyone.orderBy("seq").limit(k)
     ids = questions.select("qid").distinct()
     filled = dots.select("qid", "doc_id", "dot").unionByName(fill.select("doc_id").crossJoin(ids).select("qid", "doc_id", F.lit(0.0).alias("dot")))
     return filled.groupBy("qid", "doc_id").agg(F.max("dot").alias("dot")).join(everyone, "doc_id")
 
 
-def _scored(held: list, qid_type: T.DataType, documents: DataFrame, order: DataFrame, k: int, dims: int) -> DataFrame:
-    """(qid, doc_id, seq, dot): of each batch of documents the first ``k`` for every question."""
+def _scored(held: list, qid_type: T.DataType, documents: DataFrame, k: int, dims: int) -> DataFrame:
+    """(qid, dot, doc_id, seq): of each batch of documents the first ``k`` for every question."""
     matrix = np.zeros((len(held), dims))
     for i, r in enumerate(held):
-        at = np.array(r.idx, dtype=np.int64)
-        matrix[i, at[at >= 0]] = np.array(r.w)[at >= 0]
+        matrix[i, np.array(r.idx, dtype=np.int64)] = r.w
     ids = [r.qid for r in held]
-    vectors = documents.groupBy("doc_id").agg(F.collect_list("idx").alias("idx"), F.collect_list("w").alias("w"))
-    rows = order.select("doc_id", "seq").join(vectors, "doc_id", "left").select("seq", "doc_id", "idx", "w")
+    rows = documents.select("seq", "doc_id", "idx", "w")
     schema = T.StructType().add("qid", qid_type).add("dot", "double").add("doc_id", rows.schema["doc_id"].dataType).add("seq", rows.schema["seq"].dataType)
     qid_arrow = to_arrow_schema(schema).field("qid").type
 
@@ -95,18 +93,13 @@ def _scored(held: list, qid_type: T.DataType, documents: DataFrame, order: DataF
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
                 batch = whole.slice(start, 2048)
-                seqs = batch.column(0).to_pylist()
-                by_seq = sorted(range(len(seqs)), key=seqs.__getitem__)
-                dense = np.zeros((len(seqs), dims))
-                for i, (at, w) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                    if at:
-                        dense[i, at] = w
-                dots = matrix @ dense[by_seq].T
-                first = np.argsort(-np.round(dots, 9), axis=1, kind="stable")[:, :k]
-                picked = pa.array(np.array(by_seq)[first].ravel())
-                names = pa.array([q for q in ids for _ in range(first.shape[1])], qid_arrow)
-                values = pa.array(np.take_along_axis(dots, first, axis=1).ravel())
-                yield pa.RecordBatch.from_arrays([names, values, batch.column(1).take(picked), batch.column(0).take(picked)], names=["qid", "dot", "doc_id", "seq"])
+                idx, w = batch.column(2), batch.column(3)
+                dense = np.zeros((batch.num_rows, dims))
+                dense[np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(idx.offsets))), np.asarray(idx.flatten())] = np.asarray(w.flatten())
+                dots = matrix @ dense.T
+                q, d = first_k(dots, batch.column(0).to_pylist(), k)
+                picked = pa.array(d)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], qid_arrow), pa.array(dots[q, d]), batch.column(1).take(picked), batch.column(0).take(picked)], names=["qid", "dot", "doc_id", "seq"])
 
     return rows.mapInArrow(run, schema)
 
@@ -114,83 +107,129 @@ def _scored(held: list, qid_type: T.DataType, documents: DataFrame, order: DataF
 class DualIndex:
     """Summaries searched by meaning and by words; the blocks themselves are returned.
 
-    ``add_blocks`` replaces blocks of known doc_ids.  Document frequencies are of the
-    whole index and computed with each plan, not kept by additions.
+    ``add_blocks`` summarizes, tokenizes and embeds its blocks once and writes them as a
+    segment of the index; searches read segments.  A block whose doc_id is known
+    replaces the older one; of rows with one doc_id in a call one stays.  Document
+    frequencies are of the whole index, counted by the first search after an addition.
     """
 
-    def __init__(self, embedder: Embedder | None = None, lexical_weight: float = 0.5, backend=None, similarity: str = "cosine", summarizer: Column | Callable[[str], str] | None = None, dims: int = DIMS):
+    def __init__(self, spark: SparkSession, embedder: Embedder | None = None, lexical_weight: float = 0.5, backend=None, similarity: str = "cosine", summarizer: Column | Callable[[str], str] | None = None, dims: int = DIMS):
         metric(similarity)
-        self.embedder, self.lexical_weight, self.backend, self.similarity, self.summarizer, self.dims = embedder, lexical_weight, backend, similarity, summarizer, dims
-        self.blocks: DataFrame | None = None
+        self.spark, self.embedder, self.lexical_weight, self.backend, self.similarity, self.summarizer, self.dims = spark, embedder, lexical_weight, backend, similarity, summarizer, dims
+        self.segments: list[tuple[DataFrame, str]] = []
+        self._weights: tuple[DataFrame, str] | None = None
+
+    @property
+    def blocks(self) -> DataFrame | None:
+        """All blocks with summary, tokens and vectors; None where nothing was added."""
+        return functools.reduce(DataFrame.unionByName, (df for df, _ in self.segments)) if self.segments else None
 
     def add_blocks(self, blocks: DataFrame) -> None:
-        new = summarize(blocks, self.summarizer)
-        if self.blocks is not None:
-            new = self.blocks.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
-        self.blocks = new
+        new = summarize(blocks.dropDuplicates(["doc_id"]), self.summarizer)
+        new = new.withColumn("tokens", F.array_distinct(lexical_tokens(F.coalesce("summary", F.lit("")))))
+        # vectors are computed row by row, so they join nothing: the block goes along as one column
+        packed = new.select(F.struct(*new.columns).alias("block"), F.col("summary").alias("text"))
+        if self.backend is None:
+            packed = sparse_vectors(packed, "block", "text", self.dims) if self.embedder is None else embed_texts(packed, self.embedder, "block")
+        written, path = materialize(packed.select("block.*", *[c for c in packed.columns if c not in ("block", "text")]), "index")
+        kept = []
+        for df, old in self.segments:
+            if df.join(written.select("doc_id"), "doc_id", "left_semi").isEmpty():
+                kept.append((df, old))
+                continue
+            kept.append(materialize(df.join(written.select("doc_id"), "doc_id", "left_anti").select(*df.columns), "index"))
+            drop(self.spark, old)
+        self.segments = [*kept, (written, path)]
+        if self._weights is not None:
+            drop(self.spark, self._weights[1])
+            self._weights = None
         if self.backend is not None:
-            self.backend.add(new.select("doc_id", "summary"))
+            self.backend.add(written.select("doc_id", "summary"))
 
     def __len__(self) -> int:
-        return 0 if self.blocks is None else self.blocks.count()
+        return sum(df.count() for df, _ in self.segments)
+
+    def close(self) -> None:
+        """Delete the written segments."""
+        drop(self.spark, *[path for _, path in self.segments], *([self._weights[1]] if self._weights else []))
+        self.segments, self._weights = [], None
+
+    def weights(self) -> DataFrame:
+        """(token, df, idf) of the whole index."""
+        if self._weights is None:
+            self._weights = materialize(idf(self.blocks.select(F.explode("tokens").alias("token")), len(self)), "weights")
+        return self._weights[0]
 
     def _candidates(self, questions: DataFrame, k: int | None) -> DataFrame:
-        named = self.blocks.select("doc_id", "seq", F.col("summary").alias("text"))
         asked = questions.select("qid", F.col("question").alias("text"))
         if self.backend is not None:
-            return self.backend.search(questions, k).join(named.select("doc_id", "seq"), "doc_id")
+            return self.backend.search(questions, k).join(self.blocks.select("doc_id", "seq"), "doc_id")
         if self.embedder is None:
-            sparse = lambda df, key: hash_vectors(df, key, "text", self.dims)
-            # a question without tokens has no vector; its scores are those of no shared index
-            empty = asked.select("qid", F.lit(-1).alias("idx"), F.lit(0.0).alias("w"))
-            return sparse_search(sparse(asked, "qid").unionByName(empty), sparse(named, "doc_id"), named, self.similarity, k, self.dims)
-        vectors = embed_texts(named, self.embedder).join(named.select("doc_id", "seq"), "doc_id")
-        return dense_search(embed_texts(asked, self.embedder, "qid"), vectors, self.similarity, k)
+            return sparse_search(sparse_vectors(asked, "qid", "text", self.dims), self.blocks, self.similarity, k, self.dims)
+        return dense_search(embed_texts(asked, self.embedder, "qid"), self.blocks, self.similarity, k)
 
     def search(self, questions: DataFrame, k: int | None = 3) -> DataFrame:
         """(qid, rank, score, semantic, lexical) and the columns of blocks, for questions (qid, question)."""
         w = self.lexical_weight
         found = self._candidates(questions, None if k is None else pool_size(k))
+        blocks = self.blocks.drop("idx", "w", "v")
         if w > 0:
-            posted = postings(self.blocks.select("doc_id", "summary"), "doc_id", "summary")
-            scores = lexical_scores(questions, posted, idf(posted, self.blocks.count()), found.select("qid", "doc_id"))
+            # only candidates' tokens become postings
+            among = blocks.select("doc_id", "tokens").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+            posted = among.select("doc_id", F.explode("tokens").alias("token"))
+            scores = lexical_scores(questions, posted, self.weights(), found.select("qid", "doc_id"))
             found = found.join(scores, ["qid", "doc_id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
         else:
             found = found.withColumn("lexical", F.lit(0.0))
         found = found.withColumn("score", (1 - w) * F.col("semantic") + w * F.col("lexical")).drop("rank")
         top = ranked(found, k, steady("score"), steady("semantic"), F.col("seq")).drop("seq")
-        return top.join(self.blocks, "doc_id")
+        return top.join(blocks.drop("tokens"), "doc_id")
 
     def all_scores(self, questions: DataFrame) -> DataFrame:
         return self.search(questions, None)
 
     def summary_for(self, doc_id: str) -> str:
-        row = None if self.blocks is None else self.blocks.where(F.col("doc_id") == doc_id).select("summary").first()
+        row = self.blocks.where(F.col("doc_id") == doc_id).select("summary").first() if self.segments else None
         return row.summary if row else ""
 
 
 class StoreBackend:
-    """An external vector store at the driver: ``add_texts`` and a similarity search with or without scores."""
+    """An external vector store, called from the driver.
 
-    SEARCHES = ("similarity_search_with_relevance_scores", "similarity_search_with_score", "similarity_search")
+    ``search`` asks for relevance scores, else for the store's raw scores, else for
+    documents alone, which score 0; a store may refuse the first with NotImplementedError
+    or ValueError.  Hits without a doc_id of ours are left out.
+    """
 
     def __init__(self, store):
         self.store = store
 
     def add(self, summaries: DataFrame) -> None:
-        rows = summaries.collect()
-        if rows:
-            self.store.add_texts([r.summary for r in rows], metadatas=[{"doc_id": r.doc_id} for r in rows])
-
-    def _hits(self, question: str, k: int) -> list:
-        for name in self.SEARCHES:
+        """Hand over summaries and doc_ids, a batch of rows at a time."""
+        batch: list = []
+
+        def send() -> None:
+            self.store.add_texts([r.summary for r in batch], metadatas=[{"doc_id": r.doc_id} for r in batch])
+            batch.clear()
+
+        for r in summaries.toLocalIterator():
+            batch.append(r)
+            if len(batch) == 1000:
+                send()
+        if batch:
+            send()
+
+    def hits(self, question: str, k: int, relevance: bool = True) -> list[tuple]:
+        """(document, score or None) as the store gives them; ``relevance`` asks for scores of 0 to 1 first."""
+        scored = [("similarity_search_with_relevance_scores", (NotImplementedError, AttributeError, ValueError))] if relevance else []
+        for name, refusals in [*scored, ("similarity_search_with_score", (NotImplementedError, AttributeError))]:
             try:
-                hits = getattr(self.store, name)(question, k=k)
-            except (AttributeError, NotImplementedError):
+                return list(getattr(self.store, name)(question, k=k))
+            except refusals:
                 continue
-            return [h if isinstance(h, tuple) else (h, 1.0 / (1 + i)) for i, h in enumerate(hits)]
-        raise TypeError("the store has no similarity search")
+        return [(found, None) for found in self.store.similarity_search(question, k=k)]
 
     def search(self, questions: DataFrame, k: int | None) -> DataFrame:
-        rows = [(q.qid, hit.metadata.get("doc_id"), float(score)) for q in questions.collect() for hit, score in self._hits(q.question, k or 1 << 30)]
-        return questions.sparkSession.createDataFrame(rows, f"qid {questions.schema['qid'].dataType.simpleString()}, doc_id string, semantic double").withColumn("rank", F.lit(0))
+        """(qid, rank, doc_id, semantic); questions are asked one by one, as the store has no other way."""
+        rows = [(q.qid, 0, hit.metadata["doc_id"], float(score or 0.0)) for q in questions.toLocalIterator() for hit, score in self.hits(q.question, k or 1 << 30) if hit.metadata.get("doc_id")]
+        return questions.sparkSession.createDataFrame(rows, f"qid {questions.schema['qid'].dataType.simpleString()}, rank int, doc_id string, semantic double")

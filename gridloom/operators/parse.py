@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, lines, rtrim, trim
+from ..sources.documents import text_key
 
 SECTIONS = "array<struct<title:string,body:string>>"
 TABLE = "struct<format:string,headers:array<string>,rows:array<array<string>>>"
@@ -135,22 +136,26 @@ def markdown(headers: Column, rows: Column) -> Column:
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:
-    """Blocks of ``docs`` (source, text, and optionally doc_seq, the order of documents).
+    """Blocks of ``docs`` (source, text, and optionally doc_seq, the order of documents, and doc_key, their identity).
 
-    ``doc_id`` is a hash of the block's place, so results can be computed again;
-    ``seq`` (an array: document, section, paragraph, part) is the order of blocks.
+    ``doc_id`` is a hash of the document's identity (its source and text where no
+    doc_key is given) and the block's place, so results can be computed again and
+    documents of one name stay apart; ``seq`` (an array: document, section, paragraph,
+    part) is the order of blocks.
     """
     if "doc_seq" not in docs.columns:
         docs = docs.withColumn("doc_seq", F.lit(0).cast("long"))
-    split = docs.select("source", F.col("doc_seq").cast("long").alias("doc_seq"), F.posexplode(sections(F.coalesce("text", F.lit("")))).alias("section_idx", "s"))
+    if "doc_key" not in docs.columns:
+        docs = docs.withColumn("doc_key", text_key(F.col("source"), F.col("text")))
+    split = docs.select("source", "doc_key", F.col("doc_seq").cast("long").alias("doc_seq"), F.posexplode(sections(F.coalesce("text", F.lit("")))).alias("section_idx", "s"))
     pieces = F.transform(paragraphs(F.col("s.body")), lambda p: F.struct(p.alias("lines"), table_of(p).alias("table")))
-    split = split.select("source", "doc_seq", "section_idx", F.col("s.title").alias("section"), pieces.alias("pieces"))
+    split = split.select("source", "doc_key", "doc_seq", "section_idx", F.col("s.title").alias("section"), pieces.alias("pieces"))
     prose = F.transform(F.filter("pieces", lambda x: x["table"].isNull()), lambda x: trim(F.array_join(x["lines"], "\n")))
     split = split.withColumn("notes", F.nullif(F.array_join(prose, "\n\n"), F.lit("")))
-    rows = split.select("source", "doc_seq", "section_idx", "section", "notes", F.posexplode("pieces").alias("para_idx", "piece"))
+    rows = split.select("source", "doc_key", "doc_seq", "section_idx", "section", "notes", F.posexplode("pieces").alias("para_idx", "piece"))
     table, is_table = F.col("piece.table"), F.col("piece.table").isNotNull()
     return rows.select(
-        F.sha2(F.concat_ws("\x1f", F.coalesce("source", F.lit("")), "doc_seq", "section_idx", "para_idx", F.lit(0)), 256).alias("doc_id"),
+        F.sha2(F.concat_ws("\x1f", F.coalesce("doc_key", F.lit("")), "section_idx", "para_idx"), 256).alias("doc_id"),
         "source",
         F.array("doc_seq", F.col("section_idx").cast("long"), F.col("para_idx").cast("long"), F.lit(0).cast("long")).alias("seq"),
         "section_idx",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import os
 from collections.abc import Callable
 from typing import Protocol
 
@@ -20,6 +22,15 @@ class CallableGenerator:
         return self.function(prompt)
 
 
+def named_function(variable: str) -> Callable | None:
+    """The function that an environment variable names as ``module:function``; None where it is unset."""
+    named = os.environ.get(variable)
+    if not named:
+        return None
+    module, _, name = named.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 class ChatGenerator:
     """A chat model with ``invoke``; content given as a list of parts is joined."""
 
@@ -55,21 +66,12 @@ SYSTEM = "Answer from the context below and from nothing else. If it does not ho
 CONTRACT = "Give the answer first, in one short sentence, with figures exactly as the context states them."
 BASELINE = "Answer the question from the context alone. Simple sums, counts and averages over the rows shown are fine. If the context does not tell, say so."
 
-SQL_RULES = """You write one Spark SQL query.
-
-Views:
-{schema}
-
-Rules:
-- Use only these views and columns; read only (SELECT or WITH).
-- Regular expressions need raw strings and a group: regexp_extract(s, r'(\\d+)', 1).
-- Division by zero fails; use try_divide. Text that may not be a number needs try_cast.
-- There is no QUALIFY and no ASOF JOIN.
-- Output the query alone. If these views cannot answer the question, output NO_SQL.{instructions}{examples}
-
-Question: {question}
-SQL:"""
-RETRY = "\n\nThis query failed:\n{sql}\nError: {error}\nWrite a corrected query, or NO_SQL."
+DECLINED = "NO_SQL"  #: fixed value: what a generator says where no query can answer
+SQL_TASK = "Translate this question into a single Spark SQL query.\nQuestion: {question}"
+SQL_RULES = f"""The query is run as you write it, so reply with nothing but its text, or with {DECLINED} if the views below do not hold the answer.
+It may only read (SELECT or WITH) and only from these views. Blank cells are NULL there.
+Spark's dialect: regexp_extract(s, r'(\\d+)', 1) takes a raw string and a group; divide with try_divide where the divisor may be 0; read numbers in text with try_cast; QUALIFY and ASOF JOIN do not exist."""
+RETRY = "{prompt}\n{sql}\n\nSpark refused that query:\n{error}\n\nThe query without this fault (or " + DECLINED + "):\nSQL:"
 
 
 def build_prompt(question: str, context: str, sql: str | None = None, rows: list[dict] | None = None, system: str | None = None, builder: Callable[..., str] | None = None) -> str:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import identifier, trim
-from .guard import check_plan, check_text, missing_features
+from ..sources.staging import drop, new_path
+from .guard import check, missing_features
 
 INTEGER, DECIMAL, DATE = r"^-?\d+$", r"^-?\d+\.\d+$", r"^\d{4}-\d{2}-\d{2}$"
 
@@ -61,6 +62,7 @@ class TableSandbox:
     def __init__(self, spark: SparkSession, strict: bool = True):
         self.spark, self.strict = spark, strict
         self.tables: dict[str, Table] = {}
+        self.paths: list[str] = []
 
     def __len__(self) -> int:
         return len(self.tables)
@@ -73,17 +75,29 @@ class TableSandbox:
         return name
 
     def load_tables(self, blocks: DataFrame) -> list[str]:
-        """Load all table blocks, in order of ``seq``.  The driver keeps a line of each, rows stay in ``blocks``."""
+        """Load all table blocks, in order of ``seq``.
+
+        The rows of all tables are written once, in files by table, so that a query
+        parses nothing again and reads its own tables only.  The driver keeps a line of
+        each table: one view is one name in the session's catalog.
+        """
+        tables = blocks.where("kind = 'table'")
         types: dict[str, dict[int, str]] = {}
-        for r in column_types(blocks).collect():
+        for r in column_types(tables).collect():
             types.setdefault(r.doc_id, {})[r["col"]] = r.type
+        listed = tables.select("doc_id", "seq", "section", "headers", "context_notes").orderBy("seq").collect()
+        if not listed:
+            return []
+        path = new_path(self.spark, "tables")
+        tables.select("doc_id", F.explode_outer("rows").alias("row")).where("row is not null").write.partitionBy("doc_id").parquet(path)
+        self.paths.append(path)
+        cells = self.spark.read.schema("row array<string>, doc_id string").parquet(path)
         names = []
-        for b in blocks.where("kind = 'table'").select("doc_id", "seq", "section", "headers", "context_notes").orderBy("seq").collect():
+        for b in listed:
             name, columns = self._name(b.section), column_names(b.headers)
-            own = blocks.where((F.col("kind") == "table") & (F.col("doc_id") == b.doc_id)).select(F.explode("rows").alias("row"))
             kinds = [types[b.doc_id].get(i, "STRING") for i in range(len(columns))]
-            cells = [F.nullif(trim(F.get("row", F.lit(i))), F.lit("")).try_cast(kind.lower()).alias(c) for i, (c, kind) in enumerate(zip(columns, kinds, strict=True))]
-            own.select(*cells).createOrReplaceTempView(name)
+            typed = [F.nullif(trim(F.get("row", F.lit(i))), F.lit("")).try_cast(kind.lower()).alias(c) for i, (c, kind) in enumerate(zip(columns, kinds, strict=True))]
+            cells.where(F.col("doc_id") == b.doc_id).select(*typed).createOrReplaceTempView(name)
             self.tables[name] = Table(name, b.section, b.context_notes or "", tuple(zip(columns, kinds, strict=True)))
             names.append(name)
         return names
@@ -92,20 +106,19 @@ class TableSandbox:
         return self.load_tables(block)[0]
 
     def schema_description(self) -> str:
-        parts = []
+        """One paragraph for each view: its typed columns, where it came from, two rows and notes."""
+        said = []
         for t in self.tables.values():
-            sample = [tuple(r) for r in self.spark.table(t.name).limit(2).collect()]
-            lines = [f"View: {t.name}", f"  Section: {t.section}", "  Columns: " + ", ".join(f"{c} ({k})" for c, k in t.columns), f"  First rows: {sample}"]
-            parts.append("\n".join(lines + ([f"  Notes: {t.notes}"] if t.notes else [])))
-        return "\n\n".join(parts)
+            rows = " and ".join(str(tuple(r)) for r in self.spark.table(t.name).limit(2).collect())
+            columns = ", ".join(f"{c} {k}" for c, k in t.columns)
+            said.append(f"{t.name} ({columns}), the table under '{t.section}', begins with {rows or 'no row'}." + (f" Noted there: {t.notes}" if t.notes else ""))
+        return "\n\n".join(said)
 
     def query(self, sql: str) -> DataFrame:
         """The DataFrame of a checked SELECT."""
-        cleaned = check_text(sql, self.strict)
-        if hint := missing_features(cleaned):
+        if hint := missing_features(sql):
             raise ValueError(hint)
-        check_plan(self.spark, cleaned, set(self.tables))
-        return self.spark.sql(cleaned)
+        return self.spark.sql(check(self.spark, sql, set(self.tables), self.strict))
 
     def execute(self, sql: str) -> list[dict]:
         """Rows of a checked SELECT as dicts; of columns with one name the last stays."""
@@ -115,4 +128,6 @@ class TableSandbox:
     def close(self) -> None:
         for name in self.tables:
             self.spark.catalog.dropTempView(name)
+        drop(self.spark, *self.paths)
         self.tables.clear()
+        self.paths.clear()

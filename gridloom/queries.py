@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from .functions import match, text, vector
 from .operators import chunk, embed, evaluate, index, lexical, parse, route, summary, tfidf
 from .plans import sandbox
-from .plans.guard import check_plan, check_text
+from .plans.guard import check
 from .relational import RELATIONAL, TABLES
 from .session import configure
 from .sources import evalsets, store
+from .sources.staging import drop, materialize, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,8 +31,7 @@ def guarded(sql: str) -> Query:
         used = {t for t in TABLES if t in sql}
         for name in used:
             table(spark, sf_dir, name).createOrReplaceTempView(name)
-        check_plan(spark, check_text(sql), used)
-        return spark.sql(sql)
+        return spark.sql(check(spark, sql, used))
 
     return run
 
@@ -57,7 +57,8 @@ def rel_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("seq"), "text")
+    """Whole texts, dealt to all cores where the file is small."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("seq"), "text"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,13 +71,16 @@ def tok_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lex_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.idf(lexical.postings(documents(spark, sf_dir))).select("token", "df", F.round("idf", 9).alias("idf"))
+    n = table(spark, sf_dir, "documents").count()
+    return lexical.idf(lexical.postings(documents(spark, sf_dir)), n).select("token", "df", F.round("idf", 9).alias("idf"))
 
 
 def lex_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = lexical.postings(documents(spark, sf_dir))
-    scores = lexical.lexical_scores(questions(spark, sf_dir), posted, lexical.idf(posted)).withColumn("lexical", F.round("lexical", 6))
-    return index.ranked(scores, 3, F.col("lexical").desc(), F.col("doc_id")).select("qid", "rank", "doc_id", "lexical")
+    docs, path = materialize(lexical.forward(documents(spark, sf_dir)), "tokens")
+    weights, weights_path = materialize(lexical.idf(docs.select(F.explode("tokens").alias("token")), docs.count()), "weights")
+    found, _ = materialize(lexical.lexical_top(questions(spark, sf_dir), docs, weights, 3).withColumn("lexical", F.round("lexical", 6)), "ranked")
+    drop(spark, path, weights_path)
+    return found
 
 
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +89,8 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    q = embed.hash_vectors(questions(spark, sf_dir), "qid", "question")
-    found = index.sparse_search(q, embed.hash_vectors(docs), docs, k=3)
+    vectors = embed.sparse_vectors(docs).select("doc_id", F.col("doc_id").alias("seq"), "idx", "w")
+    found = index.sparse_search(embed.sparse_vectors(questions(spark, sf_dir), "qid", "question"), vectors, k=3)
     return found.select("qid", "rank", "doc_id", F.round("semantic", 6).alias("semantic"))
 
 
@@ -102,16 +106,17 @@ def dense_topk(similarity: str) -> Query:
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dual index over documents as prose blocks, benchmark passages as questions."""
-    raw = table(spark, sf_dir, "documents")
+    raw = spread(table(spark, sf_dir, "documents"))
     none = F.lit(None)
     blocks = raw.select(
         F.col("doc_id"), F.col("source"), F.array("doc_id").alias("seq"), F.lit(0).alias("section_idx"), F.lit(0).alias("para_idx"), F.lit("text").alias("kind"), F.col("lang").alias("section"), F.col("text").alias("content"),
         none.cast("string").alias("markdown"), none.cast("array<string>").alias("headers"), none.cast("array<array<string>>").alias("rows"), none.cast("string").alias("source_format"), F.lit("").alias("context_notes"),
     )
-    dual = index.DualIndex()
+    dual = index.DualIndex(spark)
     dual.add_blocks(blocks)
-    found = dual.search(questions(spark, sf_dir), 3)
-    return found.select("qid", "rank", "doc_id", F.round("score", 5).alias("score"))
+    found, _ = materialize(dual.search(questions(spark, sf_dir), 3).select("qid", "rank", "doc_id", F.round("score", 5).alias("score")), "ranked")
+    dual.close()
+    return found
 
 
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def asked(spark, *questions):
 
 
 def test_hybrid_search(spark):
-    dual = index.DualIndex()
+    dual = index.DualIndex(spark)
     dual.add_blocks(blocks(spark))
     got = dual.search(asked(spark, "how many on_hand in the warehouse", "net revenue for NA-EAST", "returns policy", ""), 2).collect()
     best = {r.qid: r.section for r in got if r["rank"] == 1}
@@ -35,7 +35,7 @@ def test_hybrid_search(spark):
 
 
 def test_zero_weight_is_the_vector_score(spark):
-    dual = index.DualIndex(lexical_weight=0.0)
+    dual = index.DualIndex(spark, lexical_weight=0.0)
     dual.add_blocks(blocks(spark))
     assert all(r.score == r.semantic for r in dual.search(asked(spark, "net revenue"), 3).collect())
 
@@ -43,7 +43,7 @@ def test_zero_weight_is_the_vector_score(spark):
 @pytest.mark.parametrize("name", ["cosine", "dot", "euclidean"])
 def test_metrics(spark, name):
     dense = embed.CallableEmbedder(lambda texts: [[float("stock" in t.lower()), 1.0, 0.5] for t in texts])
-    dual = index.DualIndex(dense, similarity=name, lexical_weight=0.0)
+    dual = index.DualIndex(spark, dense, similarity=name, lexical_weight=0.0)
     dual.add_blocks(blocks(spark))
     assert dual.search(asked(spark, "stock"), 1).first().section == "WAREHOUSE STOCK"
     with pytest.raises(ValueError):
@@ -58,9 +58,9 @@ def test_metric_values(spark):
 def test_lexical_by_hand(spark):
     texts = spark.createDataFrame([(1, "rev stores a"), (2, "revenue b"), (3, "c")], "doc_id int, text string")
     posted = lexical.postings(texts)
-    weights = {r.token: r.idf for r in lexical.idf(posted).collect()}
+    weights = {r.token: r.idf for r in lexical.idf(posted, 3).collect()}
     assert weights["rev"] == pytest.approx(math.log(4 / 1.5))
-    got = {(r.qid, r.doc_id): r.lexical for r in lexical.lexical_scores(asked(spark, "revenue store zzz"), posted, lexical.idf(posted)).collect()}
+    got = {(r.qid, r.doc_id): r.lexical for r in lexical.lexical_scores(asked(spark, "revenue store zzz"), posted, lexical.idf(posted, 3)).collect()}
     w = math.log(4 / 1.5)
     assert got[0, 1] == pytest.approx((0.8 * w + 0.8 * w) / (3 * w)) and got[0, 2] == pytest.approx(w / (3 * w)) and (0, 3) not in got
 

@@ -8,7 +8,7 @@ from gridloom.operators.parse import parse_documents
 from gridloom.plans.agent import SQLAgent
 from gridloom.plans.generate import CallableGenerator, ChatGenerator
 from gridloom.plans.guard import check_plan
-from gridloom.plans.pipeline import RetrieverManager, TablePipeline, run_baseline
+from gridloom.plans.pipeline import Answering, Computing, Retrieval, RetrieverManager, TablePipeline, run_baseline
 from gridloom.plans.sandbox import TableSandbox, column_names
 from gridloom.session import configure
 from gridloom.sources import evalsets
@@ -48,7 +48,8 @@ def test_types_and_values(box):
     assert box.execute("SELECT SUM(rev) AS total FROM sales WHERE day = DATE '2025-06-14';") == [{"total": 1900.5}]
     assert box.execute("SELECT units FROM sales WHERE store = 'N-2'") == [{"units": None}]
     assert box.execute('SELECT "day" FROM sales ORDER BY "day" DESC LIMIT 1') == [{"day": datetime.date(2025, 6, 21)}]
-    assert "View: sales_2" in box.schema_description() and "Notes: Corrected on Monday." in box.schema_description()
+    said = box.schema_description()
+    assert "sales_2 (a BIGINT, a_2 BIGINT, a_2_2 BIGINT)" in said and "Noted there: Corrected on Monday." in said and "('N-1'," in said
 
 
 def test_column_names():
@@ -87,13 +88,13 @@ def test_agent(box):
     prompts = []
     agent = SQLAgent(box, CallableGenerator(lambda p: prompts.append(p) or next(said)), "Amounts are in USD.", [("q", "SELECT 1")])
     assert agent.answer("how many rows") == ("SELECT COUNT(*) AS n FROM sales", [{"n": 3}])
-    assert "nope" in prompts[1] and "Amounts are in USD." in prompts[0] and "Question: q" in prompts[0]
+    assert "nope" in prompts[1] and "Amounts are in USD." in prompts[0] and "the question: q\nis answered by:\nSELECT 1" in prompts[0] and prompts[0] in prompts[1]
     calls = []
     failing = CallableGenerator(lambda p: calls.append(p) or "SELECT nope FROM sales")
-    assert SQLAgent(box, failing, max_retries=0).answer("x") == (None, None) and len(calls) == 1
-    assert SQLAgent(box, failing, max_retries=2).answer("x") == (None, None) and len(calls) == 4
+    assert SQLAgent(box, failing, retries=0).answer("x") == (None, None) and len(calls) == 1
+    assert SQLAgent(box, failing, retries=2).answer("x") == (None, None) and len(calls) == 4
     assert SQLAgent(box, CallableGenerator(lambda p: "NO_SQL")).answer("x") == (None, None)
-    assert SQLAgent(box, CallableGenerator(lambda p: p), prompt_template="{question}|{instructions}", max_retries=0).prompt("q") == "q|"
+    assert SQLAgent(box, CallableGenerator(lambda p: p), template="{question}|{instructions}", retries=0).prompt("q") == "q|"
 
 
 def test_pipeline(spark):
@@ -114,20 +115,80 @@ def test_pipeline(spark):
     pipe.sandbox.close()
     with pytest.raises(RuntimeError):
         TablePipeline(spark).query("x")
-    custom = TablePipeline(spark, CallableGenerator(lambda p: p), prompt_builder=lambda system, context, q, sql, sql_result: f"<{q}>")
+    custom = TablePipeline(spark, CallableGenerator(lambda p: p), answering=Answering(builder=lambda system, context, q, sql, sql_result: f"<{q}>"))
     assert custom.query("hi").answer == "<hi>"
 
 
 def test_evaluation(spark):
     samples = evalsets.own_samples(spark, [{"qid": "1", "question": "units of store N-2", "answers": ["12"], "golden_sections": ["SALES"]}, {"qid": "2", "question": "policy on returns", "answers": ["x"], "golden_sources": ["b"]}])
     contexts = spark.createDataFrame([("a", TEXT), ("b", "Returns policy: thirty days.")], "source string, text string")
-    pipe = TablePipeline(spark, CallableGenerator(lambda p: "it is 12"))
+
+    def model(prompt):
+        if "policy" in prompt.split("Question")[-1]:
+            raise OSError("no answer today")
+        return "it is 12"
+
+    pipe = TablePipeline(spark, CallableGenerator(model))
     results, report = pipe.evaluate(samples, contexts, generate=True)
     r = report.first()
-    assert r.recall_at_k == 1.0 and r.num_generated == 2 and r.exact_match == 0.5
+    assert r.recall_at_k == 1.0 and r.num_generated == 1 and r.exact_match == 1.0
+    by = {x.qid: x for x in results.collect()}
+    assert "no answer today" in by["2"].error and by["2"].answer_correct is None and any(x.startswith("table:a:SALES") for x in by["1"].retrieved)
+    pipe.sandbox.close()
+
+
+def test_retrieval_errors_stay_with_their_sample(spark):
+    class Refusing:
+        """Embeds all but one question."""
+
+        def embed(self, texts):
+            if any("forbidden" in t for t in texts):
+                raise ValueError("refused")
+            return [[float(len(t)), 1.0] for t in texts]
+
+    samples = evalsets.own_samples(spark, [{"qid": q, "question": t, "golden_sources": ["a"]} for q, t in (("1", "units"), ("2", "forbidden"))])
+    pipe = TablePipeline(spark, computing=Computing(enabled=False), retrieval=Retrieval(embedder=Refusing(), lexical_weight=0.0))
+    results, report = pipe.evaluate(samples, spark.createDataFrame([("a", TEXT)], "source string, text string"))
+    by = {x.qid: x for x in results.collect()}
+    assert by["1"].error is None and by["1"].hit_rank == 1 and "refused" in by["2"].error and by["2"].hit_rank is None and report.first().recall_at_k == 0.5
+
+
+def test_builtin_samples(spark):
+    samples, contexts = evalsets.builtin(spark)
+    pipe = TablePipeline(spark)
+    _, report = pipe.evaluate(samples, contexts)
+    r = report.first()
+    assert r.num_samples == 10 and r.recall_at_k >= 0.8 and r.exact_match is None
+    assert len(pipe.sandbox) == 3
     pipe.sandbox.close()
 
 
+def test_texts_add_up(spark, tmp_path):
+    """Later texts, files of one name and repeated ingest: nothing is lost, nothing is doubled."""
+    for name, text in (("x", "Gamma pears ripen."), ("y", "Delta plums ripen.")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "r.txt").write_text(text)
+    pipe = TablePipeline(spark, computing=Computing(enabled=False))
+    pipe.ingest_text("Alpha apples ripen.")
+    pipe.ingest("Beta figs ripen.\n\nThey keep.")
+    pipe.ingest_path(f"{tmp_path}/*/r.txt")
+    pipe.ingest(tmp_path / "x" / "r.txt")
+    pipe.ingest_text("Alpha apples ripen.", "Alpha apples ripen.")
+    pipe.ingest(f"{tmp_path}/y/r.txt")
+    held = pipe.index.blocks.select("source", "content").collect()
+    assert sorted(r.content for r in held) == ["Alpha apples ripen.", "Beta figs ripen.", "Delta plums ripen.", "Gamma pears ripen.", "They keep."]
+    assert sorted(r.source for r in held) == ["(inline)"] * 3 + ["r.txt"] * 2
+    found = pipe.retrieve(spark.createDataFrame([(0, "which ripen")], "qid int, question string"), 4).collect()
+    assert sorted(r["rank"] for r in found) == [1, 2, 3, 4] and len({r.doc_id for r in found}) == 4
+    pipe.index.close()
+
+
+def test_from_env(spark, monkeypatch):
+    monkeypatch.setenv("GRIDLOOM_GENERATOR", "textwrap:dedent")
+    pipe = TablePipeline.from_env(spark, computing=Computing(enabled=False))
+    assert "Question: hi" in pipe.query("hi").answer
+
+
 def test_manager_and_baseline(spark):
     manager = RetrieverManager(spark)
     manager.ingest_tables(["a,b\n1,2", "sku|stock\nx|5"])
@@ -137,6 +198,43 @@ def test_manager_and_baseline(spark):
     assert "beta two" in answer and "alpha" not in answer.split("Question")[0]
 
 
+class Hit:
+    def __init__(self, content, metadata):
+        self.page_content, self.metadata = content, metadata
+
+
+class Store:
+    """A store that refuses relevance scores and holds a document of its own."""
+
+    def __init__(self):
+        self.held = [Hit("foreign", {"origin": "else"})]
+
+    def add_texts(self, texts, metadatas):
+        self.held += [Hit(t, m) for t, m in zip(texts, metadatas, strict=True)]
+
+    def similarity_search_with_relevance_scores(self, question, k):
+        raise ValueError("no relevance function")
+
+    def similarity_search_with_score(self, question, k):
+        raise NotImplementedError
+
+    def similarity_search(self, question, k):
+        return self.held[:k]
+
+
+def test_store_mode(spark):
+    manager = RetrieverManager(spark, Store())
+    manager.ingest_tables(["a,b\n1,2"])
+    manager.ingest_tables(["sku|stock\nx|5"])
+    foreign, first, second = manager.search("stock", 5)
+    assert foreign == {"page_content": "foreign", "metadata": {"origin": "else"}}
+    assert first["metadata"]["kind"] == second["metadata"]["kind"] == "table" and "score" not in first["metadata"] and "| sku |" in second["page_content"]
+    blended = TablePipeline(spark, computing=Computing(enabled=False), retrieval=Retrieval(store=Store()))
+    blended.ingest_text("a,b\n1,2", "sku|stock\nx|5")
+    found = blended.retrieve(spark.createDataFrame([(0, "stock of sku")], "qid int, question string"), 2).orderBy("rank").collect()
+    assert [r.semantic for r in found] == [0.0, 0.0] and found[0].score > found[1].score and "sku" in found[0].markdown
+
+
 def test_chat_content_parts():
     class Said:
         content = ["a", {"text": "b"}, {"image": 1}]

@@ -149,3 +149,24 @@ def test_identifiers(spark):
     assert got == [text.identifier(v) for v in values] == ["north_america_rollup", "net_rev_usd", "col_123abc", "col", "col", "col", "x" * 60]
     row = spark.createDataFrame([("NET_rev.usd x-1",)], "v string").select(text.lexical_tokens(F.col("v")), text.plain_tokens(F.col("v"))).first()
     assert row[0] == ["net_rev.usd", "net", "rev", "usd", "x-1", "x", "1"] and row[1] == ["net_rev", "usd", "x", "1"]
+
+
+def test_cut_points_by_hand():
+    assert chunk.cut_points([3, 5, 9], 5, 0) == [(0, 5), (5, 9)]
+    assert chunk.cut_points([3, 6, 9, 12], 4, 2) == [(0, 3), (1, 6), (4, 9), (7, 12)]
+    assert chunk.cut_points([4, 8, 10], 4, 0) == [(0, 4), (4, 8), (8, 10)] and chunk.cut_points([], 4, 1) == []
+
+
+def test_pack_words_keeps_every_word():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        held = " ".join(rng.choice(["a", "bb.", "c!", "dd?", "e"]) for _ in range(rng.randint(0, 60)))
+        for budget, overlap in ((5, 0), (7, 3), (1, 0)):
+            parts = chunk.pack_words(held, budget, overlap)
+            if not overlap:
+                assert " ".join(parts) == held and all(len(p.split()) <= budget for p in parts)
+            for left, right in zip(parts, parts[1:], strict=False):
+                carried = left.split()[-overlap:] if overlap else []
+                assert right.split()[: len(carried)] == carried
