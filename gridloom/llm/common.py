@@ -1,35 +1,16 @@
-"""Shared pieces: written tables that cut lineage, and connected components."""
+"""Shared pieces: small Arrow batches, sums along an order, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from ..sources.staging import drop, materialize, new_path, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        key = spark.sparkContext.applicationId
-        found = _own.setdefault(key, _own.get(key) or tempfile.mkdtemp(prefix="gridloom-"))
-    return f"{found.rstrip('/')}/gridloom"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a written table through Spark's own file system layer."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["connected_components", "drop", "materialize", "new_path", "running_sum", "shared_dir", "small_batches", "utf8"]
 
 
 @contextmanager
@@ -44,12 +25,25 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, was)
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written to the shared folder and read again, and its path: survives lost executors."""
+def running_sum(df: DataFrame, by: list[Column], value: Column, name: str, group: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` with ``name``: the sum of ``value`` over its rows up to this one in the order ``by``; and its path.
+
+    With ``group`` (the first column of the order) sums are of that group's rows.  Rows
+    are cut into ranges of the order; each range sums its own rows, and a table of one
+    line for each group and range tells what lies before it.  No task orders all rows.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    held = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).withColumn("_range", F.spark_partition_id()).withColumn("_value", value)
+    held, held_path = materialize(held, "ranges")
+    key = F.col(group) if group else F.lit(0)
+    per = held.groupBy(key.alias("_group"), F.col("_range").alias("_at")).agg(F.sum("_value").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select("_group", "_at", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum("_value").over(Window.partitionBy(*([group] if group else []), "_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = held.withColumn("_inside", inside).join(per, key.eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
+    out, path = materialize(joined.withColumn(name, F.col("_inside") + F.col("_before")).drop("_range", "_value", "_inside", "_group", "_at", "_before"), name)
+    drop(spark, held_path)
+    return out, path
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -1,23 +1,30 @@
 """Exact top-k search without random access.
 
-Rows and queries are dealt into blocks by hash, and each pair of a query block and
-a row block is one cell, so no task ever holds more than two blocks.  A cell sorts
-every dimension once.  For each query a dimension is a sorted list of contributions,
-read from its best end: after depth d an entry is either read, and known, or no
-better than the list's frontier and no worse than its end.  Those two bounds for all
-rows and queries of the cell are two matrix products.  Depth doubles until the k-th
-lower bound of a query is above the upper bound of every other row; what is left
-for it is resolved to final scores.  Integers up to 2**53 are exact.
+Rows and queries are dealt into blocks, and a query block and a row block make a cell,
+so no task ever holds more than two blocks.  A cell sorts every dimension once.  For a
+query each dimension is a list of contributions to the score, best first, and the lists
+are read side by side, a slice of each at a time.  Of every row two bounds are kept
+from what was read: the sum of its contributions seen so far, plus, for each list where
+it has not come up yet, the worst entry of that list (lower bound) or the last one
+read (upper bound).  Reading stops when the rows whose upper bound reaches the k-th
+lower bound are few; only those get final scores.
+
+The k-th best score of blocks that are done is a lower bound for all others.  Blocks
+are therefore searched in levels, first one, then 16 times as many at a time, and a
+query takes its k-th score along to the next level.  Scores are 64-bit integers.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import drop, materialize
+
 SCHEMA = "query_id long, vec_id long, score long"
+GROWTH = 16  #: row blocks of a level for each block of the one before
 
 
 def quantized(embedding: Column, factor: int = 256) -> Column:
@@ -30,79 +37,114 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & (F.size(embedding) > 0) & ~F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
-def no_random_access(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, first: int = 16) -> tuple[list[np.ndarray], int]:
-    """Per query the row numbers of its top k (ties to the smaller id), and the last depth read.
+def no_random_access(queries: np.ndarray, rows: np.ndarray, allowed: np.ndarray, k: int, floors: np.ndarray, slices: int = 16) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per query the rows that can be among its top k, and the list entries read for it.
 
-    ``own`` holds the id that a query may not return.
+    ``allowed`` tells for (query, row) whether the row is a candidate at all; ``floors``
+    holds a score that the k-th best of each query is known to reach, or -inf.
     """
     n = len(rows)
-    lists = np.sort(rows, axis=0)
-    worst, best = lists[0], lists[-1]
-    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(queries)
-    open_, depth = np.arange(len(queries)), min(n, max(first, k + 1, n // 4))
-    while len(open_):
-        high = lists[n - depth]  # frontiers: of lists read from the top ...
-        low = lists[depth - 1]  # ... and from the bottom, for negative weights
-        p, m = plus[open_], minus[open_]
-        if depth >= n:
-            upper = lower = p @ rows.T + m @ rows.T
-        else:
-            upper = p @ np.maximum(rows, high).T + m @ np.minimum(rows, low).T
-            lower = p @ np.where(rows >= high, rows, worst).T + m @ np.where(rows <= low, rows, best).T
-        banned = ids[None, :] == own[open_, None]
-        lower = np.where(banned, -np.inf, lower)
-        upper = np.where(banned, -np.inf, upper)
-        left = []
-        for at, q in enumerate(open_.tolist()):
-            lo = lower[at]
-            kth = np.partition(lo, n - k)[n - k] if n > k else -np.inf
-            stay = np.flatnonzero((upper[at] >= kth) & ~banned[at])
-            # outsiders cannot qualify: final scores of those few who can
-            if depth >= n or len(stay) <= max(4 * k, n // 8):
-                score = rows[stay] @ queries[q]
-                out[q] = stay[np.lexsort((ids[stay], -score))][:k]
-            else:
-                left.append(q)
-        open_ = np.array(left, dtype=np.int64)
-        depth = min(n, 2 * depth)
-    return out, depth
-
-
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows_per_block: int = 4096, queries_per_block: int = 512) -> DataFrame:
+    up = np.argsort(rows, axis=0, kind="stable")
+    down = up[::-1]
+    values = rows.astype(np.float64)
+    # sums of doubles may be off by this share of the largest sum
+    slack = 1e-12 * rows.shape[1] * np.abs(queries).astype(np.float64) @ np.abs(values).max(axis=0)
+    step = max(1, -(-n // slices))
+    few = max(4 * k, 16)
+    out, read = [], np.zeros(len(queries), dtype=np.int64)
+    for i, query in enumerate(queries.astype(np.float64)):
+        lists = np.flatnonzero(query)
+        weight = query[lists]
+        order = np.where(weight > 0, down[:, lists], up[:, lists])
+        worst = weight * values[order[-1], lists]
+        known = np.zeros(n)
+        seen = np.zeros((n, len(lists)), dtype=np.float32)
+        at = np.arange(len(lists))
+        can = allowed[i]
+        candidates = np.flatnonzero(can)
+        for start in range(0, n if len(lists) else 0, step):
+            if len(candidates) <= few:
+                break
+            entries = order[start : start + step]
+            gains = weight * values[entries, lists]
+            known += np.bincount(entries.ravel(), weights=gains.ravel(), minlength=n)
+            seen[entries, at] = 1
+            read[i] += entries.size
+            ends = np.stack([gains[-1], worst], axis=1)
+            bounds = known[:, None] + (ends.sum(axis=0) - seen.astype(np.float64) @ ends)
+            upper, lower = bounds[candidates, 0], bounds[candidates, 1]
+            kth = max(floors[i], np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf)
+            candidates = candidates[upper >= kth - 2 * slack[i]]
+        out.append(candidates)
+    return out, read
+
+
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Equally long vectors as rows."""
+    whole = vectors.combine_chunks()
+    whole = whole.combine_chunks() if isinstance(whole, pa.ChunkedArray) else whole
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(whole), -1)
+
+
+def search_cell(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
+    """The up to ``k`` best rows of ``held`` (vec_id, v) for each query of ``asked`` (vec_id, v, floor)."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    if not asked.num_rows or not held.num_rows:
+        return schema.empty_table()
+    queries, rows = matrix(asked.column("v")), matrix(held.column("v"))
+    own = asked.column("vec_id").to_numpy()
+    # ids stay integers: a null is marked apart
+    null = held.column("vec_id").is_null().to_numpy()
+    ids = held.column("vec_id").fill_null(0).to_numpy()
+    floors = asked.column("floor").cast(pa.float64()).fill_null(-np.inf).to_numpy()
+    found, _ = no_random_access(queries, rows, null[None, :] | (ids[None, :] != own[:, None]), k, floors)
+    which, at, scores = [], [], []
+    for i, candidates in enumerate(found):
+        score = rows[candidates] @ queries[i]
+        best = np.lexsort((ids[candidates], null[candidates], -score))[:k]
+        which.append(np.full(len(best), own[i]))
+        at.append(candidates[best])
+        scores.append(score[best])
+    at = np.concatenate(at)
+    return pa.table([pa.array(np.concatenate(which)), pa.array(ids[at], mask=null[at]), pa.array(np.concatenate(scores))], schema=schema)
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, cell_values: int = 1 << 18, queries_per_block: int = 512, first_queries: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` highest inner products of every query.
 
     ``vectors`` and ``queries`` have (vec_id, v) with v an array of integers; a query
-    does not return rows of its own id.  Cases: null vectors and vectors of another
-    length than the query's take no part; ties go to the smaller vec_id; repeated rows
-    are ranked each; of queries with one id the least vector is asked; a query without other rows has no result; further columns are
-    ignored.
+    does not return rows of its own id.  A row block holds about ``cell_values``
+    components.  Cases: null vectors and vectors of another length than the query's take
+    no part; a query without an id is not asked, a row without one is found like any
+    other and returned with a null vec_id; ties go to the smaller vec_id, null last;
+    repeated rows are ranked each; of queries with one id the least vector is asked; a
+    query without other rows has no result; further columns are ignored.
     """
-    vectors = vectors.where("v is not null").select("vec_id", "v")
-    queries = queries.where("v is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
-    across = max(1, -(-vectors.count() // rows_per_block))
-    down = max(1, -(-queries.count() // queries_per_block))
-
-    def dealt(df: DataFrame, mine: int, others: int, mine_first: bool) -> DataFrame:
-        block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(mine)).cast("int").alias("own")
-        other = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("other")
-        both = df.select("vec_id", "v", F.size("v").alias("dims"), block, other)
-        q, r = ("own", "other") if mine_first else ("other", "own")
-        return both.select("vec_id", "v", "dims", F.col(q).alias("q"), F.col(r).alias("r"))
-
-    def cell(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(held):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        a, h = np.vstack(asked["v"].to_numpy()).astype("float64"), np.vstack(held["v"].to_numpy()).astype("float64")
-        own, ids = asked["vec_id"].to_numpy(), held["vec_id"].to_numpy()
-        found, _ = no_random_access(a, h, own, ids, min(k, len(h)))
-        counts = [len(x) for x in found]
-        rows = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-        which = np.repeat(np.arange(len(found)), counts)
-        score = np.einsum("ij,ij->i", a[which], h[rows])
-        return pd.DataFrame({"query_id": own[which], "vec_id": ids[rows], "score": np.rint(score).astype("int64")})
-
+    spark = vectors.sparkSession
+    vectors = vectors.where("v is not null").select("vec_id", "v", F.size("v").alias("dims"))
+    asked, asked_path = materialize(queries.where("v is not null and vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v")), "asked")
+    total = vectors.agg(F.coalesce(F.sum("dims"), F.lit(0))).first()[0]
+    across, n_asked = max(1, -(-total // cell_values)), asked.count()
+    # dealt by place too, so that one vector in very many rows fills no block
+    block = F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(across)).cast("int")
+    dealt, dealt_path = materialize(vectors.withColumn("r", block), "dealt")
+    best, best_path = spark.createDataFrame([], SCHEMA), None
+    start, width = 0, 1
     by = ["dims", "q", "r"]
-    found = dealt(queries, down, across, True).groupBy(*by).cogroup(dealt(vectors, across, down, False).groupBy(*by)).applyInPandas(cell, SCHEMA)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    while start < across and n_asked:
+        stop = min(across, start + width)
+        down = max(1, -(-n_asked // (queries_per_block if start else first_queries)))
+        floors = best.groupBy(F.col("query_id").alias("id")).agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
+        left = asked.join(floors, F.col("vec_id") == F.col("id"), "left")
+        left = left.select("vec_id", "v", "floor", "dims", F.pmod(F.xxhash64("vec_id"), F.lit(down)).cast("int").alias("q"), F.explode(F.sequence(F.lit(start), F.lit(stop - 1))).alias("r"))
+        right = dealt.where((F.col("r") >= start) & (F.col("r") < stop)).select("vec_id", "v", "dims", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("q"), "r")
+        found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(lambda a, h: search_cell(a, h, k), SCHEMA)
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+        top = best.unionByName(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        best, path = materialize(top.select("query_id", "vec_id", "score"), "best")
+        if best_path:
+            drop(spark, best_path)
+        best_path, start, width = path, stop, width * GROWTH
+    drop(spark, asked_path, dealt_path)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    return best.select("query_id", F.row_number().over(order).cast("int").alias("rank"), "vec_id", "score")
