@@ -37,41 +37,50 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & (F.size(embedding) > 0) & ~F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
-def no_random_access(queries: np.ndarray, rows: np.ndarray, allowed: np.ndarray, k: int, floors: np.ndarray, slices: int = 16) -> tuple[list[np.ndarray], np.ndarray]:
+#: parts of the lists' length after which bounds are drawn up
+DEPTHS = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 11 / 16, 3 / 4, 13 / 16, 7 / 8, 15 / 16, 1)
+
+
+def no_random_access(queries: np.ndarray, rows: np.ndarray, allowed: np.ndarray, k: int, floors: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Per query the rows that can be among its top k, and the list entries read for it.
 
     ``allowed`` tells for (query, row) whether the row is a candidate at all; ``floors``
     holds a score that the k-th best of each query is known to reach, or -inf.
     """
     n = len(rows)
-    up = np.argsort(rows, axis=0, kind="stable")
-    down = up[::-1]
     values = rows.astype(np.float64)
+    up = np.argsort(rows, axis=0, kind="stable")
+    ascending = np.take_along_axis(values, up, axis=0)
+    # a list is read from its best end: from the top for positive weights, else from the bottom
+    orders, sorted_ = (up, up[::-1].copy()), (ascending, ascending[::-1].copy())
     # sums of doubles may be off by this share of the largest sum
     slack = 1e-12 * rows.shape[1] * np.abs(queries).astype(np.float64) @ np.abs(values).max(axis=0)
-    step = max(1, -(-n // slices))
+    stops = sorted({max(1, round(n * d)) for d in DEPTHS})
     few = max(4 * k, 16)
     out, read = [], np.zeros(len(queries), dtype=np.int64)
+    seen = np.zeros(values.shape)
     for i, query in enumerate(queries.astype(np.float64)):
-        lists = np.flatnonzero(query)
-        weight = query[lists]
-        order = np.where(weight > 0, down[:, lists], up[:, lists])
-        worst = weight * values[order[-1], lists]
+        sides = [np.flatnonzero(query < 0), np.flatnonzero(query > 0)]
+        seen[:] = 0
         known = np.zeros(n)
-        seen = np.zeros((n, len(lists)), dtype=np.float32)
-        at = np.arange(len(lists))
-        can = allowed[i]
-        candidates = np.flatnonzero(can)
-        for start in range(0, n if len(lists) else 0, step):
+        worst, ends = np.zeros(len(query)), np.zeros(len(query))
+        for side, lists in enumerate(sides):
+            worst[lists] = query[lists] * sorted_[side][-1, lists]
+        candidates = np.flatnonzero(allowed[i])
+        start = 0
+        for stop in stops if query.any() else ():
             if len(candidates) <= few:
                 break
-            entries = order[start : start + step]
-            gains = weight * values[entries, lists]
-            known += np.bincount(entries.ravel(), weights=gains.ravel(), minlength=n)
-            seen[entries, at] = 1
-            read[i] += entries.size
-            ends = np.stack([gains[-1], worst], axis=1)
-            bounds = known[:, None] + (ends.sum(axis=0) - seen.astype(np.float64) @ ends)
+            for side, lists in enumerate(sides):
+                entries = orders[side][start:stop, lists]
+                gains = sorted_[side][start:stop, lists] * query[lists]
+                known += np.bincount(entries.ravel(), weights=gains.ravel(), minlength=n)
+                seen[entries, lists] = 1
+                ends[lists] = gains[-1]
+                read[i] += entries.size
+            start = stop
+            last = np.stack([ends, worst], axis=1)
+            bounds = known[:, None] + (last.sum(axis=0) - seen @ last)
             upper, lower = bounds[candidates, 0], bounds[candidates, 1]
             kth = max(floors[i], np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf)
             candidates = candidates[upper >= kth - 2 * slack[i]]
