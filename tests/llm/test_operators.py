@@ -226,6 +226,37 @@ def test_extraction(spark):
     assert extraction.extract_pages(df.limit(0)).collect() == []
 
 
+def test_extraction_of_bare_pages():
+    model = extraction.train(extraction.labelled_pages())
+    assert model.extract("<body><p>The first paragraph of the page stands in the body itself, without a container.</p><p>A second one follows it, as long as the first one is.</p></body>").startswith("The first paragraph")
+    assert model.extract("<body><nav><a href=/>home</a> <a href=/x>news</a></nav><p>The first paragraph of the page, in the body itself, long enough to be read.</p><p>A second one that follows it.</p><footer>&copy; me</footer></body>") == "The first paragraph of the page, in the body itself, long enough to be read. A second one that follows it."
+    assert model.extract("<article><p>Here a&l<b>t;b</b> stays apart, and &lt;i&gt; is text; <math><mi>x</mi></math> too, in words that go on.</p></article>") == "Here a&lt;b stays apart, and <i> is text; x too, in words that go on."
+
+
+def test_extraction_takes_linear_time():
+    """100,000 nested elements, and as many end tags that match nothing."""
+    import time
+
+    model = extraction.train(extraction.labelled_pages(60))
+    for page in ("<p>" + "<b>x" * 100_000, "<div>" * 100_000 + "</span>" * 100_000 + "text", "<ul>" + "<b>" * 50_000 + "<li>y" * 50_000, "<b>" * 50_000 + "<p>z" * 50_000):
+        began = time.perf_counter()
+        model.extract(page)
+        assert time.perf_counter() - began < 30
+
+
+def test_elements_end_as_before():
+    """Parents in pages with omitted end tags, tables in tables and stray end tags."""
+    page = "<table><tr><td>a<table><tr><td>b<tr><td>c</table><td>d<tr><td>e</table><ul><li>f<b>g<li>h<ul><li>i</ul><li>j</ul><p>k<div>l</p>m</i></div>n"
+    nodes, runs = extraction.parse(page)
+
+    def path(i):
+        return [] if i <= 0 else [*path(nodes[i].parent), nodes[i].tag]
+
+    got = {text: "/".join(path(at)) for at, text in runs if at >= 0}
+    inner = "table/tr/td/table/tr/td"
+    assert got == {"a": "table/tr/td", "b": inner, "c": inner, "d": "table/tr/td", "e": "table/tr/td", "f": "ul/li", "g": "ul/li/b", "h": "ul/li", "i": "ul/li/ul/li", "j": "ul/li", "k": "p", "l": "div", "m": "div", "n": ""}
+
+
 def test_marginals_are_exact():
     """Message passing against the sum over all labellings of a small tree."""
     import itertools
