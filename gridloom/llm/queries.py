@@ -115,23 +115,39 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 5
 """
 
-#: the same patterns and rules as the operator; components by a recursive closure, for few links only
+
+def _attribute(name: str) -> str:
+    pattern = rf"""'(?is)[\s"''/]{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)'"""
+    value = f"regexp_extract(tag, {pattern}, 1)"
+    return f"""nullif(CASE WHEN {value}[1] IN ('"', '''') THEN {value}[2:-2] ELSE {value} END, '')"""
+
+
+#: components by a recursive closure, for few links only
 URLS_SQL = r"""
 WITH RECURSIVE rules AS (SELECT * FROM (VALUES %s) AS t(verdict, h, p)),
 pg AS (SELECT row_number() OVER () AS rid, page_id, url, html, instr(url, '://') AS sep FROM pages),
-links AS (
-  SELECT url, regexp_extract(html, '%s') AS tag, regexp_extract(regexp_extract(html, '%s'), '%s', 1) AS refresh
-  FROM pg WHERE url IS NOT NULL AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))
+seen AS (SELECT url, regexp_replace(regexp_replace(html, '(?s)<!--.*?(-->|\z)', '', 'g'), '(?is)<script\b.*?(</script\s*>|\z)', '', 'g') AS h FROM pg WHERE url IS NOT NULL AND html IS NOT NULL),
+tags AS (SELECT url, unnest(regexp_extract_all(h, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM seen),
+attributes AS (
+  SELECT url, lower(tag[2:5]) AS name, lower(trim(%s)) AS rel, %s AS href, lower(trim(%s)) AS equiv, %s AS content FROM tags
 ),
 targets AS (
-  SELECT url, coalesce(nullif(regexp_extract(tag, '%s', 1), ''), nullif(regexp_extract(tag, '%s', 2), ''), nullif(regexp_extract(tag, '%s', 3), '')) AS t FROM links
-  UNION ALL SELECT url, nullif(refresh, '') FROM links
+  SELECT url, href AS t FROM attributes WHERE name = 'link' AND list_contains(string_split_regex(rel, '\s+'), 'canonical')
+  UNION ALL SELECT url, regexp_extract(content, '(?is)^\s*[0-9.]*\s*[;,]?\s*(?:url\s*=\s*)?[''"]?([^''"]*)', 1) FROM attributes WHERE name = 'meta' AND equiv = 'refresh'
+),
+clean AS (SELECT url, replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '&amp;', '&') AS t, regexp_extract(url, '(?s)^[A-Za-z][\w+.-]*://[^/?#]*') AS site FROM targets),
+split_targets AS (SELECT *, regexp_extract(substring(url, length(site) + 1), '(?s)^[^?#]*') AS base, regexp_extract(t, '(?s)^[^?#]*') AS tp FROM clean),
+merged AS (SELECT *, CASE WHEN starts_with(tp, '/') THEN tp ELSE coalesce(nullif(regexp_extract(base, '(?s)^.*/'), ''), '/') || tp END AS m FROM split_targets),
+flat AS (
+  SELECT *, list_reduce(list_prepend('', string_split(m[2:], '/')), lambda x, y: CASE y WHEN '..' THEN regexp_replace(x, '/[^/]*$', '') WHEN '.' THEN x ELSE x || '/' || y END)
+    || CASE WHEN regexp_matches(m, '/[.][.]?$') THEN '/' ELSE '' END AS resolved FROM merged
 ),
-clean AS (SELECT url, replace(trim(t), '&amp;', '&') AS t, regexp_extract(url, '(?s)^[A-Za-z][\w+.-]*://[^/?#]*') AS site FROM targets),
 whole AS (
-  SELECT url AS a, CASE WHEN contains(t, '://') THEN t
+  SELECT url AS a, CASE WHEN regexp_matches(t, '^[A-Za-z][\w+.-]*://') THEN t
+    WHEN t = '' OR site = '' OR starts_with(t, '#') OR regexp_matches(t, '^[A-Za-z][\w+.-]*:') THEN NULL
     WHEN starts_with(t, '//') THEN regexp_extract(url, '^([A-Za-z][\w+.-]*):', 1) || ':' || t
-    WHEN starts_with(t, '/') AND site <> '' THEN site || t END AS b FROM clean
+    WHEN starts_with(t, '?') THEN site || base || t
+    ELSE site || resolved || substring(t, length(tp) + 1) END AS b FROM flat
 ),
 bare AS (SELECT regexp_replace(a, '(?s)#.*$', '') AS a, regexp_replace(b, '(?s)#.*$', '') AS b FROM whole WHERE b IS NOT NULL),
 fronts AS (SELECT a, b, regexp_extract(a, '(?s)^[^:]*://[^/?]*') AS fa, regexp_extract(b, '(?s)^[^:]*://[^/?]*') AS fb FROM bare),
@@ -161,7 +177,7 @@ FROM named JOIN judged ON kind = 'page' AND id = CAST(rid AS VARCHAR)
 LEFT JOIN blocked ON node = lower(front) || substring(bare, length(front) + 1)
 """ % (
     ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES),
-    *(x.replace("'", "''") for x in (urlfilter.CANONICAL, urlfilter.REFRESH, urlfilter.TARGET, urlfilter.HREF, urlfilter.HREF, urlfilter.HREF)),
+    *map(_attribute, ("rel", "href", "http-equiv", "content")),
 )
 
 #: all pairs of distinct sets that share a shingle: for small tables

@@ -15,10 +15,11 @@ from .common import connected_components
 
 Rule = tuple[str, str, str]  #: verdict, host, path
 
-CANONICAL = r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b["']?[^>]*>"""
-REFRESH = r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b["']?[^>]*>"""
-HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-TARGET = r"""(?is)\burl\s*=\s*['"]?([^'">\s]+)"""
+# What html is read for.
+UNSEEN = (r"(?s)<!--.*?(?:-->|\z)", r"(?is)<script\b.*?(?:</script\s*>|\z)")
+TAG = r"(?is)<{0}\b[^>]*>"
+ATTRIBUTE = r"""(?is)[\s"'/]{0}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+REFRESH = r"""(?is)^\s*[\d.]*\s*[;,]?\s*(?:url\s*=\s*)?['"]?([^'"]*)"""
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -44,11 +45,45 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if name is None else (name, verdict)
 
 
+def without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its ``.`` and ``..`` segments resolved."""
+    parts = F.split(F.substring(path, 2, F.length(path)), "/", -1)
+    up = lambda so_far: F.regexp_replace(so_far, r"(?s)/[^/]*\z", "")
+    folded = F.aggregate(parts, F.lit(""), lambda so_far, part: F.when(part == "..", up(so_far)).when(part == ".", so_far).otherwise(F.concat(so_far, F.lit("/"), part)))
+    return F.concat(folded, F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+
+
 def absolute(target: Column, url: Column) -> Column:
-    """``target`` resolved against ``url`` for full, scheme-relative and root-relative forms; else null."""
-    target = F.regexp_replace(F.trim(target), "&amp;", "&")
+    """``target`` resolved against ``url``; null for an empty one, a mere fragment, and schemes without a host."""
+    target = F.replace(F.regexp_replace(target, r"^\s+|\s+\z", ""), F.lit("&amp;"), F.lit("&"))
     scheme, site = F.regexp_extract(url, r"^([A-Za-z][\w+.-]*):", 1), F.regexp_extract(url, r"(?s)^[A-Za-z][\w+.-]*://[^/?#]*", 0)
-    return F.when(target.contains("://"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("/") & (site != ""), F.concat(site, target))
+    base = F.regexp_extract(F.substring(url, F.length(site) + 1, F.length(url)), r"(?s)^[^?#]*", 0)
+    path = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    rest = F.substring(target, F.length(path) + 1, F.length(target))
+    folder = F.coalesce(F.nullif(F.regexp_extract(base, r"(?s)^.*/", 0), F.lit("")), F.lit("/"))
+    merged = without_dots(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path)))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][\w+.-]*://"), target)
+        .when((target == "") | (site == "") | target.startswith("#") | target.rlike(r"^[A-Za-z][\w+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("?"), F.concat(site, base, target))
+        .otherwise(F.concat(site, merged, rest))
+    )
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's first attribute of that name; null where it has none or an empty one."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(tag, ATTRIBUTE.format(name), i), F.lit("")) for i in (1, 2, 3)])
+
+
+def targets(html: Column) -> Column:
+    """Addresses that a page names as its canonical form or as a redirect, as an array; comments and scripts are not read."""
+    for pattern in UNSEEN:
+        html = F.regexp_replace(html, pattern, "")
+    links, metas = (F.regexp_extract_all(html, F.lit(TAG.format(name)), 0) for name in ("link", "meta"))
+    named = F.filter(links, lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical"))
+    moved = F.filter(metas, lambda t: F.lower(F.trim(attribute(t, "http-equiv"))) == "refresh")
+    return F.concat(F.transform(named, lambda t: attribute(t, "href")), F.transform(moved, lambda t: F.regexp_extract(attribute(t, "content"), REFRESH, 1)))
 
 
 def node(url: Column) -> Column:
@@ -59,12 +94,9 @@ def node(url: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): nodes of pages and of the canonical and redirect targets in their html."""
-    tag, meta = F.regexp_extract("html", CANONICAL, 0), F.regexp_extract("html", REFRESH, 0)
-    canonical = F.coalesce(*[F.nullif(F.regexp_extract(tag, HREF, i), F.lit("")) for i in (1, 2, 3)])
-    refresh = F.nullif(F.regexp_extract(meta, TARGET, 1), F.lit(""))
+    """(a, b): nodes of pages and of the canonical and redirect targets in their html, all of them."""
     some = F.lower("html").contains("canonical") | F.lower("html").contains("refresh")
-    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull() & some).select("url", F.explode(F.array(canonical, refresh)).alias("target"))
+    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull() & some).select("url", F.explode(targets(F.col("html"))).alias("target"))
     return found.select(node(F.col("url")).alias("a"), node(absolute(F.col("target"), F.col("url"))).alias("b")).where("a is not null and b is not null and a <> b")
 
 
@@ -73,8 +105,9 @@ def filter_urls(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = N
 
     ``edges`` (a, b) are further redirects, as addresses.  Cases: a null url or one
     without ``://`` has empty host and path, no rule and no aliases, and is allowed;
-    repeated rows are judged alike; null html has no edges; an empty table gives no
-    rows; further columns are ignored.
+    repeated rows are judged alike; null html has no edges; links are resolved against
+    their page's url (a base element is not read), and a refresh without an address is
+    none; an empty table gives no rows; further columns are ignored.
     """
     host, path = split_url(F.col("url"))
     links = alias_edges(pages)

@@ -366,6 +366,24 @@ def test_urls(spark):
     assert urlfilter.filter_urls(df.limit(0), queries.RULES).collect() == []
 
 
+def test_relative_links(spark):
+    """Canonical links and redirects of all forms carry a block; links in comments and scripts do not."""
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urlfilter.filter_urls(df, queries.RULES).where("page_id >= 12").collect()}
+    assert got == {12: "block", 13: "block", 14: "block", 15: "block", 16: "allow", 17: "allow", 18: "allow"}
+
+
+@pytest.mark.parametrize(
+    ("target", "wanted"),
+    [("../g", "http://a/b/g"), ("./g/", "http://a/b/c/g/"), ("/g", "http://a/g"), ("//g", "http://g"), ("?y", "http://a/b/c/d;p?y"), ("g?y#s", "http://a/b/c/g?y#s"), ("../../../g", "http://a/g"), ("..", "http://a/b/"), (".", "http://a/b/c/"), ("../..", "http://a/"), ("g;x=1/../y", "http://a/b/c/y"), ("g?y/../x", "http://a/b/c/g?y/../x"), ("http://h/x", "http://h/x"), ("mailto:x", None), ("", None), ("#s", None)],
+)
+def test_resolution_of_references(spark, target, wanted):
+    """The examples of RFC 3986."""
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(urlfilter.absolute(F.lit(target), F.lit("http://a/b/c/d;p?q"))).first()[0] == wanted
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(500, 600)] + [(7, 7), (None, 3)]
@@ -520,6 +538,13 @@ PAGES = [
     (10, "http://d.net", None),
     (10, "http://d.net", None),
     (11, "http://ORG/\ny", ""),
+    (12, "http://e.net/a/b/c?x=1", "<link rel='alternate canonical' href='../d'><link rel=canonical href=./e/../f/.>"),
+    (13, "http://e.net/a/d", "x"),
+    (14, "http://e.net/a/b/f/", '<meta content="0;URL=\'?go=1\'" http-equiv="Refresh"><!-- <link rel=canonical href=/clean> -->'),
+    (15, "http://e.net/a/b/f/?go=1", "<script>'<link rel=canonical href=/clean>'</script><link data-rel=canonical rel='stylesheet' href=/clean><link rel='canonical' href='https://z.com/de/q&amp;r'>"),
+    (16, "http://e.net/clean", "<link rel=canonical href='mailto:me'><link rel=canonical href='#top'><meta http-equiv=refresh content=30>"),
+    (17, "http://e.net", "<link rel=canonical href='to/x?u=http://b.com/de/x'>"),
+    (18, "http://e.net/to/x?u=http://b.com/de/x", None),
 ]
 
 
