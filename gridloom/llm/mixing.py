@@ -17,29 +17,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, materialize
+from .common import drop, materialize, running_sum
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int) -> tuple[DataFrame, str]:
     """(source, source_size, n, target) by water-filling, from (source, size, n).
 
-    Sources ordered by code point, null last, take ``weights`` in turn.  Ordered by
-    cap over weight, capped sources come first: one is capped while the level without
-    the sources before it exceeds its own ratio.
+    Sources ordered by code point, null last, take ``weights`` in turn; the order is cut
+    into ranges, so no task holds all sources.  Each has its weight times one level, or
+    its cap where that is less.
     """
+    spark = sizes.sparkSession
     per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    weighed = per.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), turn + 1))
-    weighed = weighed.withColumn("cap", most * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(0))
-    level = (share * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    filled = weighed.withColumn("level", level).withColumn("open", F.col("level") <= F.col("ratio"))
-    final = F.min_by(F.when(F.col("open"), F.col("level")), F.when(F.col("open"), F.struct("ratio", F.coalesce("source", F.lit("")), F.col("source").isNull()))).over(every)
-    target = F.when(F.col("open"), F.least(F.col("cap").cast("double"), final * F.col("weight"))).otherwise(F.col("cap").cast("double"))
-    return filled.withColumn("target", target).select("source", "source_size", "n", "target")
+    ranked, path = running_sum(per, [F.col("source").asc_nulls_last()], F.lit(1).cast("long"), "place")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    weighed = ranked.withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
+    # the level rises as sources reach their caps, and none leaves its cap again: a few aggregations settle it
+    total = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    level, before = 0.0, -1
+    while True:
+        capped = F.col("cap") < F.col("weight") * F.lit(level)
+        full, open_, n = weighed.agg(F.coalesce(F.sum(F.when(capped, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~capped, F.col("weight"))), F.lit(0)), F.count_if(capped)).first()
+        if n == before or not open_:
+            break
+        level, before = (share * total - full) / open_, n
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level))
+    out = materialize(weighed.select("source", "source_size", "n", target.alias("target")), "targets")
+    drop(spark, path)
+    return out
 
 
 def rate(z: Column, tilt: Column, most: int) -> Column:
@@ -89,20 +96,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     """Words the mix takes of every row of ``docs`` (doc_id, text, source).
 
     Cases: null text has size 0 and takes nothing, as has a source without words;
-    null is a source of its own, the last; repeated rows are mixed each, in an order
-    that does not matter as they are alike; a null doc_id is hashed like any other; an
-    empty table gives no rows; further columns are ignored.
+    null is a source of its own, the last; rows that share a doc_id are told apart by
+    their text, also where it is null; rows alike in both are mixed each, in an order
+    that does not matter; an empty table gives no rows; further columns are ignored.
 
     A (source, size) pair may hold a third of all rows: its rows are dealt into shares
     of about ``rows_per_share`` by hash, and copies are rounded share by share.
-    ``key`` names a column that tells rows of one doc_id apart; it is returned too.
+    ``key`` names a column that tells rows of one doc_id apart in place of the text's
+    hash; it is returned too.
     """
     spark = docs.sparkSession
-    ids = ["doc_id", *([key] if key else [])]
+    ids = ["doc_id", key or "_text"]
+    if key is None:
+        docs = docs.select("doc_id", "text", "source", F.xxhash64("text").alias("_text"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized, _ = materialize(docs.select(*ids, "source", size.alias("size")), "sizes")
+    sized, sized_path = materialize(docs.select(*ids, "source", size.alias("size")), "sizes")
     pairs, pairs_path = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "pairs")
-    tilts, tilts_path = solve_tilts(pairs, source_targets(pairs, weights, share, most), most)
+    targets, targets_path = source_targets(pairs, weights, share, most)
+    tilts, tilts_path = solve_tilts(pairs, targets, most)
     # rounded, so that the order in which a cluster adds doubles cannot show
     w = F.when(F.col("size") == 0, 0).otherwise(F.round(rate(F.col("size") / F.col("mean"), F.round("tilt", 9), most) * 10**6).cast("long"))
     rated = pairs.join(tilts.select(F.col("source").alias("s"), "source_size", "target", "mean", "tilt"), F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", "source_size", "target", w.alias("micro"), F.ceil(F.col("n") / rows_per_share).cast("int").alias("shares"))
@@ -114,19 +125,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     keyed = keyed.select(*ids, "source", "size", "source_size", "target", "micro", part.alias("share"))
     group = ["source", "size", "share"]
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(*ids, F.lit(7)), *ids))
-    ranked, _ = materialize(keyed.withColumn("rank", rank), "ranked")
+    ranked, ranked_path = materialize(keyed.withColumn("rank", rank), "ranked")
     counts = ranked.groupBy(*group).agg(F.count("*").alias("rows"), F.first("micro").alias("micro"))
     # systematic rounding: cumulative rates along each source, in halves offset
-    along = Window.partitionBy("source").orderBy("size", "share")
-    upto = F.sum(F.col("rows") * F.col("micro")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    whole = counts.withColumn("upto", upto).withColumn("copies", F.floor((F.col("upto") + 500_000) / 10**6) - F.floor((F.col("upto") - F.col("rows") * F.col("micro") + 500_000) / 10**6))
+    summed, summed_path = running_sum(counts, [F.col("source"), F.col("size"), F.col("share")], F.col("rows") * F.col("micro"), "upto", "source")
+    whole = summed.withColumn("copies", F.floor((F.col("upto") + 500_000) / 10**6) - F.floor((F.col("upto") - F.col("rows") * F.col("micro") + 500_000) / 10**6))
     whole = whole.select(*[F.col(c).alias(f"_{c}") for c in group], "copies", "rows")
     same = F.lit(True)
     for c in group:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     base = F.floor(F.col("copies") / F.col("rows"))
     given = ranked.join(whole, same).withColumn("n_copies", F.least(F.lit(most), base + F.when(F.col("rank") <= F.col("copies") - base * F.col("rows"), 1).otherwise(0)))
-    given, _ = materialize(given.select(*ids, "source", "size", "source_size", "target", "share", "rank", (F.col("n_copies") * F.col("size")).alias("taken")), "copies")
+    given, given_path = materialize(given.select(*ids, "source", "size", "source_size", "target", "share", "rank", (F.col("n_copies") * F.col("size")).alias("taken")), "copies")
     # the rest of each source goes to, or comes off, the one document with most room for it
     name = F.struct("size", "share", "rank")
     rest = given.groupBy("source").agg(
@@ -136,5 +146,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     )
     rest = rest.withColumn("use", F.when(F.col("rest") > 0, F.col("more")).otherwise(F.col("less"))).where("rest <> 0").select(F.col("source").alias("s"), F.col("use.at").alias("at"), (F.signum("rest") * F.least(F.abs("rest"), F.col("use.room"))).cast("long").alias("change"))
     final = given.join(rest, F.col("source").eqNullSafe(F.col("s")), "left")
-    drop(spark, rated_path)
-    return final.select("doc_id", "size", "source_size", "target", (F.col("taken") + F.when(F.col("at") == name, F.col("change")).otherwise(0)).alias("taken"), "source", *ids[1:])
+    final = final.select("doc_id", "size", "source_size", "target", (F.col("taken") + F.when(F.col("at") == name, F.col("change")).otherwise(0)).alias("taken"), "source", *([key] if key else []))
+    mixed, _ = materialize(final, "mixed")
+    drop(spark, targets_path, rated_path, sized_path, ranked_path, summed_path, given_path)
+    return mixed
