@@ -163,33 +163,78 @@ def test_warc_files_are_bounded(spark, tmp_path):
 # fingerprints
 
 
-def brute_sketch(text, spark_hash):
-    return spark_hash(text)
+def shingles_of(text, k=5):
+    words = [w for w in (text or "").translate({ord(c): " " for c in WHITE}).split(" ") if w]
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def hashes_of(spark, texts):
+    """63-bit hashes of every shingle of the texts, each hashed by itself."""
+    every = sorted({x for t in texts for x in shingles_of(t)})
+    df = spark.createDataFrame([(i, list(x)) for i, x in enumerate(every)], "i int, w array<string>").selectExpr("i", "xxhash64(w) & 9223372036854775807 AS h")
+    by = {r.i: r.h for r in df.collect()}
+    return {x: by[i] for i, x in enumerate(every)}
+
+
+def brute_sketch(text, hashes, scale=4):
+    found = {hashes[x] for x in shingles_of(text)}
+    return {h for h in found if h < 2**63 // scale}, min(found, default=None)
+
+
+def brute_print(sketch):
+    kept, least = sketch
+    return " ".join(f"{h:016x}" for h in sorted(kept)) if kept else "" if least is None else f"~{least:016x}"
+
+
+def brute_likeness(a, b):
+    return len(a[0] & b[0]) / len(a[0] | b[0]) if a[0] | b[0] else float(a[1] == b[1])
 
 
 def test_fingerprints(spark, docs, rows, none):
     found = fingerprints.fingerprint_documents(docs).collect()
     assert len(found) == len(rows)
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    wanted = defaultdict(set)
-    for i, (doc_id, text, *_) in enumerate(order):
+    keyed = spark.createDataFrame([(i, r[1] or "") for i, r in enumerate(rows)], "i int, text string").selectExpr("i", "xxhash64(text) AS h").collect()
+    place = {r.i: r.h for r in keyed}
+    order = [rows[i] for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, -(rows[i][0] or 0), place[i]))]
+    texts = []
+    for i, (_, text, *_) in enumerate(order):
         text, nxt = text or "", order[(i + 1) % len(order)][1] or ""
         half = len(text) // 2
-        edited = text[: len(text) - half] + nxt[:half]
-        wanted[doc_id].add((len(text), hashlib.sha256(edited.encode()).hexdigest()))
-    for r in found:
-        assert (r.n_chars, r.edited_sha256) in wanted[r.doc_id]
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    texts = {d: t or "" for d, t, *_ in rows}
-    prints = defaultdict(set)
-    for r in found:
-        prints[texts[r.doc_id]].add(r.fingerprint)
-    assert all(len(p) == 1 for p in prints.values())
+        texts.append((text, text[: len(text) - half] + nxt[:half], nxt))
+    hashes = hashes_of(spark, [t for three in texts for t in three])
+    wanted = Counter()
+    for (doc_id, *_), (text, edited, nxt) in zip(order, texts, strict=True):
+        a, b, c = (brute_sketch(t, hashes) for t in (text, edited, nxt))
+        wanted[doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), brute_print(a), brute_print(b), round(brute_likeness(a, b), 9), round(brute_likeness(a, c), 9)] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in found) == wanted
     assert fingerprints.fingerprint_documents(none).collect() == []
     one = fingerprints.fingerprint_documents(spark.createDataFrame([(4, "a b c d e f g")], "doc_id long, text string")).first()
     assert one.near_next == 1
-    nulls = spark.createDataFrame([(None, "a"), (None, "bc")], "doc_id long, text string")
-    assert len(fingerprints.fingerprint_documents(nulls).collect()) == 2
+
+
+@pytest.mark.parametrize("named", [0, 3, 300])
+def test_rows_without_an_id_are_ranged_too(spark, named):
+    """Each text ends in the start of the one after it, whatever the share of rows without a doc_id."""
+    texts = [f"{i:04} " + "abcdefgh"[i % 8] * (i % 13) for i in range(400)]
+    df = spark.createDataFrame([((i << 54) - 2**61 + i if named == 300 else i, t) if i < named else (None, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "xxhash64(text) AS h").cache()
+    order = [r.text for r in sorted(df.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))]
+    wanted = Counter()
+    for i, t in enumerate(order):
+        half = len(t) // 2
+        wanted[hashlib.sha256((t[: len(t) - half] + order[(i + 1) % len(order)][:half]).encode()).hexdigest()] += 1
+    assert Counter(r.edited_sha256 for r in fingerprints.fingerprint_documents(df).collect()) == wanted
+
+
+def test_sketches_merge_by_union(spark):
+    """The merged sketch of two halves that share k - 1 words is that of the whole, also of tiny texts."""
+    from pyspark.sql import functions as F
+
+    for words in ([str(i) for i in range(200)], [str(i) for i in range(7)]):
+        cut = len(words) // 2
+        halves = (" ".join(words), " ".join(words[: cut + 4]), " ".join(words[cut:]))
+        df = spark.createDataFrame([halves], "a string, b string, c string").select(*[fingerprints.sketch(F.col(c)).alias(c) for c in "abc"])
+        whole, merged = df.select("a", fingerprints.merge(F.col("b"), F.col("c"))).first()
+        assert whole == merged
 
 
 def test_containment_of_unequal_texts(spark):
@@ -441,6 +486,36 @@ def test_mixing(docs, rows, none):
     assert mixing.mix_sources(none).collect() == []
 
 
+def test_mixing_rates(spark):
+    """Documents follow the exponential tilt that brings their source to its target (found here by bisection)."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 2, 3, 5, 8, 13, 40, 41])), source) for i in range(900) for source in [rng.choice("aaaaabbc")]] + [(None, " ".join(["n"] * rng.randint(1, 30)), "b") for _ in range(60)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), rows_per_share=16).collect()
+    for source in "abc":
+        own = sorted((r.size, r.taken) for r in got if r.source == source)
+        sizes = np.array([x for x, _ in own], dtype=float)
+        target, z = next(r.target for r in got if r.source == source), sizes / sizes.mean()
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            tilt = (low + high) / 2
+            rates = np.minimum(2, np.exp(np.clip(tilt * z, -700, 700)))
+            low, high = (tilt, high) if (rates * sizes).sum() < target else (low, tilt)
+        # whole copies along the sizes keep within one of the summed rates; one document holds the rest
+        copies = np.array([t / s for s, t in own])
+        ends = [i for i in range(len(own)) if i + 1 == len(own) or own[i + 1][0] != own[i][0]]
+        assert max(abs(copies.cumsum()[i] - rates.cumsum()[i]) for i in ends) <= 2.01
+        assert abs(sum(t for _, t in own) - target) <= 1
+
+
+def test_targets_of_many_sources(spark):
+    """Sources in code point order over many ranges, some above their caps in several rounds."""
+    rng = random.Random(3)
+    sizes = {f"s{i:03}é"[rng.randrange(2) :]: rng.choice([1, 10, 100, 1000, 10_000]) for i in range(150)} | {None: 40, "": 7}
+    df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, size long, n long")
+    got = {r.source: r.target for r in mixing.source_targets(df, (5, 2, 1), 1.5, 2)[0].collect()}
+    assert got == pytest.approx(brute_targets(sizes, (5, 2, 1), 1.5, 2))
+
+
 # language ID
 
 
@@ -460,16 +535,61 @@ def test_langid(spark, docs, rows, none):
     assert all(r.lang_pred in {"en", "de", "und"} for r in langid.identify_languages(docs).collect())
 
 
-def test_ngram_counts_of_pieces():
-    text = "Grüße, ab" * 40
-    whole = dict(zip(*(x.tolist() for x in langid.ngram_counts(text, 10)), strict=True))
-    step, langid.STEP = langid.STEP, 17
+def brute_grams(text, bits):
+    """Buckets of a text's n-grams, one after the other."""
+    plain = "".join(c if c.isalpha() else " " for c in text.lower())
+    plain = f" {' '.join(plain.split(' '))} "
+    while "  " in plain:
+        plain = plain.replace("  ", " ")
+    found = Counter()
+    for order in (1, 2, 3):
+        for at in range(len(plain) - order + 1):
+            h = order
+            for i, c in enumerate(plain[at : at + order]):
+                h = (h ^ ord(c)) * langid.MIX[i] % 2**32
+                h ^= h >> 15
+            found[h >> (32 - bits)] += 1
+    return found
+
+
+def test_scores_of_a_batch_are_those_of_each_text():
+    """Sparse batches, in pieces and whole, against the naive Bayes sum of each text by itself."""
+    rng = np.random.default_rng(9)
+    log_p = np.log(rng.dirichlet(np.ones(1 << 10), size=3))
+    texts = ["Grüße, ab  " * 40, "x", " ..1 a-b\tc", "İstanbul ΑΣ", "the quick " * 300]
+    step = langid.STEP
     try:
-        assert whole == dict(zip(*(x.tolist() for x in langid.ngram_counts(text, 10)), strict=True))
+        for langid.STEP in (step, 17):
+            likely, n = langid.score_batch(texts, log_p, 10)
+            for i, text in enumerate(texts):
+                wanted = brute_grams(text, 10)
+                assert n[i] == sum(wanted.values())
+                assert likely[i] == pytest.approx([sum(count * of[b] for b, count in wanted.items()) for of in log_p])
     finally:
         langid.STEP = step
 
 
+def test_posteriors(spark):
+    """The model and the scores of a small table against counts made by hand."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("aaa bab", "x"), ("bbb aba", "y"), ("abab", "x"), ("ccc", "z"), ("b", "y"), ("aa", None), ("cab", None)] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = defaultdict(Counter)
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 3 != 1:
+            counts[lang].update(brute_grams(t, 14))
+    for r in langid.identify_languages(df).collect():
+        log = {}
+        for lang, seen in counts.items():
+            total = sum(seen.values()) + (1 << 14)
+            log[lang] = sum(n * np.log((seen[b] + 1) / total) for b, n in brute_grams(rows[r.doc_id][1], 14).items())
+        n = sum(brute_grams(rows[r.doc_id][1], 14).values())
+        odds = {lang: np.exp((x - max(log.values())) * min(n, 64) / n) for lang, x in log.items()}
+        assert r.lang_pred == max(sorted(log), key=log.get) and r.score == pytest.approx(1 / sum(odds.values()))
+    many = spark.range(30).selectExpr("id AS doc_id", "'a' AS text", "cast(id AS string) AS lang")
+    with pytest.raises(ValueError):
+        langid.fit(many, most_langs=20)
+
+
 # Jaccard join
 
 
