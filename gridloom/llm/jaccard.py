@@ -1,30 +1,34 @@
 """Exact n-gram Jaccard join in the metric space of shingle sets.
 
 1. Equal sets are one class; the join works on classes, so copies are never paired.
-2. Two sets of similarity t or more share a shingle of their prefixes (the first
-   ``n - ceil(t*n) + 1`` shingles in one order for all; here rare ones first) and
-   their sizes differ by no more than 1/t.  The least class among those of close
-   size that share a prefix shingle is their pivot.  A set enters the region of each
-   of its pivots, mostly one, so every linked pair meets in some region.  (Of pivots
-   drawn at random nearly every set has distance 1, where the triangle inequality
-   says nothing; this is why regions are nominated by shared shingles.)
+2. First regions: two sets of similarity t or more share a shingle of their prefixes
+   (the first ``n - ceil(t*n) + 1`` shingles in one order for all; here rare ones first)
+   and their sizes differ by no more than 1/t.  The classes of close size that share a
+   prefix shingle are a region, named after the least of them, so every linked pair
+   meets in some region.  (Of pivots drawn from all sets nearly every set has distance 1,
+   where the triangle inequality says nothing.)
 3. Every set has a parity sketch, one bit for each of about n cells of the hash range.
    The bits in which two sketches differ are at most the symmetric difference, so a
    set leaves a region where each other one is farther than a link allows; shingles
    are fetched for what stays.
-4. A region that fits in a task is joined there exactly.  A larger one is cut around
-   its pivot into rings as wide as the join's distance: by the triangle inequality a
-   partner is in the same ring or the next, so a ring gets the ring inside it as
-   visitors.  What links to the pivot is one component already and is not paired
-   again.  Rings are regions with pivots of their own, and so on; a ring that stays
-   too large is dealt into blocks, every pair of which is joined.
-5. Links are written as stars and their components found by ``connected_components``.
+4. A region of more than ``FEW`` sets is divided by pivots.  With e the join's distance,
+   a set within e of a pivot links to it and goes to the cell of its nearest pivot; by
+   the triangle inequality a partner of it is within 2e of that pivot, so a set from e
+   to 2e away visits the cell, and one farther away does not.  Sets beyond e of all
+   pivots are the rest, a region of its own.  What a cell's pivot links is one component
+   and is not paired again: left to try are visitors against insiders, and of these only
+   distances that differ by e at most.  Cells and the rest are divided again in the same
+   way, until they hold few sets, which are compared directly.
+5. This runs within one task for a region that fits in it, and level by level over all
+   tasks for a larger one.  What pivots do not divide is dealt into pairs of blocks.
+6. Links are written as stars and their components found by ``connected_components``.
 
 Shingles are 64-bit hashes; everything else is exact for every size and skew.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -36,8 +40,11 @@ from pyspark.sql import functions as F
 from .common import connected_components, drop, materialize, small_batches
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: kinds of a region's rows: linked to one pivot; to be paired; from the next ring in
+#: kinds of a region's rows: linked to its pivot; to be paired; from another cell
 INSIDER, HOME, VISITOR = 0, 1, 2
+REST = -1  #: the part of a region that no pivot reaches
+FEW = 16  #: sets that are compared directly
+PIVOTS = 8  #: pivots that divide a region
 
 
 class _Words(dict):
@@ -203,7 +210,114 @@ def pairs_of(kinds: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[n
     return np.nonzero(hit & ~same)
 
 
-def stars(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+def distances(sets: list[np.ndarray], pivot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symmetric difference and union of a pivot with each set: their quotient is the distance."""
+    sizes = np.array([len(x) for x in sets])
+    tokens = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(pivot, tokens), len(pivot) - 1)
+    shared = np.add.reduceat((pivot[at] == tokens).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    union = sizes + len(pivot) - shared
+    return union - shared, union
+
+
+def reach(apart: np.ndarray, union: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether distances are within the join's, and within twice that."""
+    return 100 * apart <= (100 - percent) * union, 100 * apart <= 2 * (100 - percent) * union
+
+
+def places(kind: int, linked: list[bool], near: list[bool], apart: list[float], one: bool) -> list[tuple[int, int, float]]:
+    """(cell, kind, distance to its pivot) of a set, from its distances to the pivots of its region.
+
+    ``one``: the region's sets but for its visitors are one component already, so a
+    visitor that links with a pivot is done.
+    """
+    if one and kind == VISITOR and any(linked):
+        return []
+    if one and kind == INSIDER:
+        visits = []
+    else:
+        visits = [(c, VISITOR, apart[c]) for c in range(len(near)) if near[c] and not linked[c]]
+    if kind == VISITOR:
+        return [*visits, (REST, VISITOR, -1.0)]
+    if not any(linked):
+        return [*visits, (REST, kind, -1.0)]
+    home = min((c for c in range(len(linked)) if linked[c]), key=lambda c: (apart[c], c))
+    # of two sets with unlike homes the one of the lower cell visits
+    return [(home, INSIDER, apart[home]), *[v for v in visits if v[0] > home]]
+
+
+def worth_it(kinds: np.ndarray) -> bool:
+    """Whether a region has a pair left to try."""
+    homes, insiders = (kinds == HOME).sum(), (kinds == INSIDER).sum()
+    return len(kinds) > 1 and bool(homes or (insiders and insiders < len(kinds)))
+
+
+def in_window(kinds: np.ndarray, far: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of a cell whose distance to the pivot differs from that of some possible partner by the join's at most."""
+    step = (100 - percent) / 100 + 1e-9
+    insider = kinds == INSIDER
+    if (far < 0).any() or insider.all() or not insider.any():
+        return np.ones(len(kinds), dtype=bool)
+    return np.where(insider, far >= far[~insider].min() - step, far <= far[insider].max() + step)
+
+
+def region_links(kinds: np.ndarray, sets: list[np.ndarray], percent: int, far: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """Edges (as indices) that connect all linked sets of a region which one task holds.
+
+    Pairs of two insiders, who are connected already, and of two visitors, who meet
+    elsewhere, are left out.
+    """
+    a: list[int] = []
+    b: list[int] = []
+    far = np.full(len(sets), -1.0) if far is None else far
+    todo = [(np.arange(len(sets)), kinds, far)]
+    while todo:
+        at, kind, far = todo.pop()
+        stays = in_window(kind, far, percent)
+        at, kind = at[stays], kind[stays]
+        if not worth_it(kind):
+            continue
+        if len(at) <= FEW:
+            x, y = pairs_of(kind, [sets[i] for i in at], percent)
+            a += at[x].tolist()
+            b += at[y].tolist()
+            continue
+        one = not (kind == HOME).any()
+        can = np.flatnonzero(kind == (INSIDER if one else HOME))
+        own = [sets[i] for i in at]
+        # far pivots divide best: each next one is the farthest from those before
+        least, next_ = np.full(len(at), np.inf), int(can[0])
+        pivots, linked, near, apart = [], [], [], []
+        while len(pivots) < PIVOTS and len(pivots) < len(can):
+            pivots.append(next_)
+            difference, union = distances(own, own[next_])
+            within, twice = reach(difference, union, percent)
+            linked.append(within.tolist())
+            near.append(twice.tolist())
+            apart.append((difference / union).tolist())
+            least = np.minimum(least, difference / union)
+            next_ = int(can[np.argmax(least[can])])
+            if least[next_] == 0:
+                break
+        cells: dict[int, list[tuple[int, int, float]]] = {}
+        for i, (kind_i, *by) in enumerate(zip(kind.tolist(), zip(*linked, strict=True), zip(*near, strict=True), zip(*apart, strict=True), strict=True)):
+            for c, hit in enumerate(by[0]):
+                if hit and pivots[c] != i:
+                    a.append(int(at[i]))
+                    b.append(int(at[pivots[c]]))
+            for c, what, d in places(kind_i, *by, one):
+                cells.setdefault(c, []).append((i, what, d))
+        parts = [tuple(np.array(x) for x in zip(*rows, strict=True)) for rows in cells.values()]
+        if 2 * sum(len(index) ** 2 for index, _, _ in parts) <= len(at) ** 2:
+            todo += [(at[index], what, d) for index, what, d in parts]
+        else:  # pivots do not divide it: compared directly
+            x, y = pairs_of(kind, own, percent)
+            a += at[x].tolist()
+            b += at[y].tolist()
+    return a, b
+
+
+def stars(a: list[int], b: list[int], ids: np.ndarray) -> list[tuple[int, int]]:
     """Edges from each linked member to the least id of its part of the region."""
     root = list(range(len(ids)))
 
@@ -213,15 +327,15 @@ def stars(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]
             x = root[x]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+    for x, y in zip(a, b, strict=True):
         x, y = find(x), find(y)
         if x != y:
             root[max(x, y)] = min(x, y)
-    return [(int(ids[i]), int(ids[find(i)])) for i in set(a.tolist()) | set(b.tolist()) if find(i) != i]
+    return [(int(ids[i]), int(ids[find(i)])) for i in {*a, *b} if find(i) != i]
 
 
 def join_regions(rows: DataFrame, percent: int) -> DataFrame:
-    """Star edges (a, b) of the regions in ``rows`` (region, cid, kind, shingles), each of which fits in a task."""
+    """Star edges (a, b) of the regions in ``rows`` (region, cid, kind, far, shingles), each of which fits in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "b"]
@@ -229,50 +343,68 @@ def join_regions(rows: DataFrame, percent: int) -> DataFrame:
         for held in by_region(batches):
             one = {x[0]: x for x in held}  # repeated rows of one class
             group = [one[c] for c in sorted(one)]
-            if len(group) > 1 and any(x[1] != VISITOR for x in group):
-                sets = [np.frombuffer(x[2], dtype=np.uint64) for x in group]
-                edges += stars(*pairs_of(np.array([x[1] for x in group]), sets, percent), np.array([x[0] for x in group]))
+            kinds = np.array([x[1] for x in group])
+            if worth_it(kinds):
+                sets = [np.frombuffer(x[3], dtype=np.uint64) for x in group]
+                edges += stars(*region_links(kinds, sets, percent, np.array([x[2] for x in group])), np.array([x[0] for x in group]))
             if len(edges) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=names)
                 edges = []
         if edges:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=names)
 
-    return rows.select("region", "cid", "kind", "shingles").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long")
+    return rows.select("region", "cid", "kind", "far", "shingles").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long")
 
 
-def cut_rings(rows: DataFrame, percent: int) -> DataFrame:
-    """Regions too large for a task, cut into rings around their least home class.
+def divide_regions(rows: DataFrame, percent: int) -> tuple[DataFrame, str]:
+    """Regions too large for a task, divided by pivots over all tasks; written.
 
-    Rows (region, cid, kind, shingles, pivot, linked): ``linked`` marks a link of cid
-    and pivot.  With d the distance to the pivot and e the join's distance, ring i
-    holds floor(d / e) = i, and each of its rows visits ring i + 1.
+    Rows (region, cid, kind, far, shingles, pivots): a row for each cell that the set is
+    in; ``pivots`` are the classes that the set links with, given once.  Pivots are the
+    first of each region by hash, so a region's rows meet them wherever they are.
     """
-    centre = rows.where(F.col("kind") == HOME).groupBy("region").agg(F.min_by("shingles", "cid").alias("core"), F.min("cid").alias("pivot"))
+    one = F.max((F.col("kind") == HOME).cast("int")) == 0
+    kinds = rows.groupBy("region").agg(one.alias("one"))
+    can = rows.select("region", "cid", "kind").join(kinds, "region").where(F.col("kind") == F.when(F.col("one"), INSIDER).otherwise(HOME))
+    first = Window.partitionBy("region").orderBy(F.xxhash64("cid"), "cid")
+    chosen = can.select("region", "cid", "one").distinct().withColumn("at", F.row_number().over(first)).where(F.col("at") <= PIVOTS)
+    pivots = rows.where(F.col("kind") != VISITOR).join(chosen, ["region", "cid"]).groupBy("region").agg(F.first("one").alias("one"), F.array_sort(F.collect_set(F.struct("cid", "shingles"))).alias("centres"))
+    pivots, pivots_path = materialize(pivots, "pivots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["region", "cid", "kind", "far", "shingles", "pivots"]
+        types = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.int64())]
         for batch in batches:
             out: list[tuple] = []
-            for region, cid, kind, raw, core, pivot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine, his = np.frombuffer(raw, dtype=np.uint64), np.frombuffer(core, dtype=np.uint64)
-                shared = len(np.intersect1d(mine, his, assume_unique=True))
-                union = len(mine) + len(his) - shared
-                hit = bool(linked(shared, len(mine), len(his), percent))
-                ring = 0 if hit else -(-100 * (union - shared) // ((100 - percent) * union)) - 1
-                places = {(ring, INSIDER if hit and kind != VISITOR else kind)}
-                if kind == VISITOR:
-                    places |= {(r, VISITOR) for r in (ring - 1, ring + 1) if r >= 0}
-                    places -= {(0, VISITOR)} if hit else set()  # insiders and it are one component by now
-                else:
-                    places |= {(ring + 1, VISITOR)}
-                for r, what in places:
-                    out.append((f"{region}/{pivot}:{r}", cid, what, raw, pivot, hit))
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_()]
-            names = ["region", "cid", "kind", "shingles", "pivot", "linked"]
+            for region, cid, kind, raw, one, centres in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(raw, dtype=np.uint64)
+                difference, union = distances([np.frombuffer(c["shingles"], dtype=np.uint64) for c in centres], own)
+                linked, near = reach(difference, union, percent)
+                links = [c["cid"] for c, hit in zip(centres, linked, strict=True) if hit and c["cid"] != cid]
+                cells = places(kind, linked.tolist(), near.tolist(), (difference / union).tolist(), one)
+                for i, (c, what, d) in enumerate(cells or [(REST, VISITOR, -2.0)]):
+                    name = f"{region}/{'rest' if c == REST else centres[c]['cid']}"
+                    out.append((name, cid, what, d, raw, [] if i else links) if cells else (f"{region}/done", cid, what, d, b"", links))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    met = rows.join(pivots, "region").select("region", "cid", "kind", "shingles", "one", "centres")
+    cells = materialize(met.mapInArrow(run, "region string, cid long, kind int, far double, shingles binary, pivots array<long>"), "cells")
+    drop(rows.sparkSession, pivots_path)
+    return cells
+
 
-    return rows.join(centre, "region").select("region", "cid", "kind", "shingles", "core", "pivot").mapInArrow(run, "region string, cid long, kind int, shingles binary, pivot long, linked boolean")
+def in_windows(cells: DataFrame, percent: int) -> DataFrame:
+    """``in_window`` for regions over all tasks, without those that have no pair left to try."""
+    insider, step = F.col("kind") == INSIDER, (100 - percent) / 100 + 1e-9
+    of = cells.groupBy("region").agg(
+        F.max(F.when(insider, F.col("far"))).alias("_out"), F.min(F.when(~insider, F.col("far"))).alias("_in"), (F.min("far") < 0).alias("_open"),
+        F.count_if(F.col("kind") == HOME).alias("_homes"), F.count_if(insider).alias("_insiders"), F.count_if(F.col("kind") == VISITOR).alias("_visitors"),
+    )
+    of = of.where("(_homes > 0 and _homes + _visitors > 1) or (_insiders > 0 and _visitors > 0)").withColumnRenamed("region", "_region")
+    met = cells.where("far > -2").join(of, F.col("region") == F.col("_region"))
+    stays = F.col("_open") | F.when(insider, F.col("far") >= F.col("_in") - step).otherwise(F.col("far") <= F.col("_out") + step)
+    return met.where(F.coalesce(stays, F.lit(True))).select("region", "cid", "kind", "far", "shingles")
 
 
 def deal_blocks(rows: DataFrame, sizes: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
@@ -283,7 +415,7 @@ def deal_blocks(rows: DataFrame, sizes: DataFrame, most_rows: int, most_bytes: i
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = some.withColumn("own", own).withColumn("other", other)
     name = F.concat_ws("#", "region", F.least("own", "other"), F.greatest("own", "other"))
-    return dealt.select(name.alias("region"), "cid", "kind", "shingles")
+    return dealt.select(name.alias("region"), "cid", "kind", F.lit(-1.0).alias("far"), "shingles")
 
 
 def jaccard_components(
@@ -292,9 +424,9 @@ def jaccard_components(
     percent: int = 90,
     sample_rows: int = 20_000,
     most_frequent: int = 1 << 19,
-    most_rows: int = 1024,
+    most_rows: int = 256,
     most_bytes: int = 1 << 24,
-    depth: int = 4,
+    depth: int = 3,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
@@ -305,7 +437,8 @@ def jaccard_components(
     no doc_id is reachable; an empty table gives no rows; further columns are ignored.
     """
     with small_batches(docs.sparkSession):
-        return _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), k, percent, sample_rows, most_frequent, most_rows, most_bytes, depth)
+        text = F.col("text").cast("string")
+        return _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")), k, percent, sample_rows, most_frequent, most_rows, most_bytes, depth)
 
 
 def _components(docs: DataFrame, k: int, percent: int, sample_rows: int, most_frequent: int, most_rows: int, most_bytes: int, depth: int) -> DataFrame:
@@ -323,14 +456,14 @@ def _components(docs: DataFrame, k: int, percent: int, sample_rows: int, most_fr
                 digests.append(set_digest(found) if len(found) else None)
                 firsts.append(prefix(found, percent, frequent, counts).view(np.int64) if len(found) else None)
                 parities.append(parity(found) if len(found) else None)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parities, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "prefix", "parity"])
-
-    sets, sets_path = materialize(docs.mapInArrow(describe, "doc_id long, n long, digest binary, prefix array<long>, parity binary"), "sets")
-    classes, _ = materialize(
-        sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")).withColumn("cid", F.monotonically_increasing_id()),
-        "classes",
-    )
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parities, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "digest", "prefix", "parity"])
+
+    sets, sets_path = materialize(docs.mapInArrow(describe, "doc_id long, key long, n long, digest binary, prefix array<long>, parity binary"), "sets")
+    # a class is found again by one of its rows: the least doc_id, and the hash of that row's text
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("one")
+    grouped = sets.where("n > 0").groupBy("digest").agg(one, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
+    classes, classes_path = materialize(grouped.select("digest", F.col("one.doc_id").alias("least"), "one.key", "n", "prefix", "parity").withColumn("cid", F.monotonically_increasing_id()), "classes")
     # runs of close sizes among the classes that share a prefix shingle
     order = Window.partitionBy("shingle").orderBy("n", "cid")
     gap = F.coalesce((100 * F.lag("n").over(order) < percent * F.col("n")).cast("int"), F.lit(0))
@@ -357,49 +490,54 @@ def _components(docs: DataFrame, k: int, percent: int, sample_rows: int, most_fr
                     pivots.append(regions)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raws, pa.binary()), pa.array(pivots, pa.list_(pa.int64()))], names=["cid", "shingles", "pivots"])
 
-    wanted = members.groupBy("cid").agg(F.collect_list("pivot").alias("pivots")).join(classes.select("cid", "digest", "least"), "cid")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "digest", "cid", "pivots")
+    wanted = members.groupBy("cid").agg(F.collect_list("pivot").alias("pivots")).join(classes.select("cid", "digest", "least", F.col("key").alias("of")), "cid")
+    texts = docs.join(wanted, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "digest", "cid", "pivots")
+    # rows alike in id and text are one row's work: those classes are few, and only their texts are compared
+    alike, alike_path = materialize(sets.where("n > 0").groupBy("doc_id", "key", "digest").agg(F.count("*").alias("rows")).where("rows > 1").select("digest").distinct(), "alike")
+    if not alike.isEmpty():
+        texts = texts.join(alike, "digest", "left_anti").unionByName(texts.join(alike, "digest", "left_semi").dropDuplicates(["cid"])).select(*texts.columns)
     rows = texts.mapInArrow(fetch, "cid long, shingles binary, pivots array<long>")
-    rows = rows.select(F.explode(F.col("pivots").cast("array<string>")).alias("region"), "cid", F.lit(HOME).alias("kind"), "shingles")
+    rows = rows.select(F.explode(F.col("pivots").cast("array<string>")).alias("region"), "cid", F.lit(HOME).alias("kind"), F.lit(-1.0).alias("far"), "shingles")
 
     sizes = members.groupBy(F.col("pivot").cast("string").alias("region")).agg(F.count("*").alias("rows"), F.sum(8 * F.col("n")).alias("bytes"))
     too_large = (F.col("rows") > most_rows) | (F.col("bytes") > most_bytes) & (F.col("rows") > 2)
     large, large_path = materialize(sizes.where(too_large), "large")
+    temporary = [sets_path, members_path, large_path, alike_path]
+    links: list[DataFrame] = []
+
+    def join(small: DataFrame) -> None:
+        edges, path = materialize(join_regions(small, percent).distinct(), "links")
+        links.append(edges)
+        temporary.append(path)
+
     if large.isEmpty():
-        links, _ = materialize(join_regions(rows, percent).distinct(), "links")
+        join(rows)
     else:
         rows, rows_path = materialize(rows, "regions")
-        links, _ = materialize(join_regions(rows.join(large, "region", "left_anti"), percent).distinct(), "links")
+        temporary.append(rows_path)
+        join(rows.join(large, "region", "left_anti"))
         left = rows.join(large, "region", "left_semi")
         for level in range(depth + 1):
             if level == depth:
-                more, _ = materialize(join_regions(deal_blocks(left, large, most_rows, most_bytes), percent).distinct(), "links")
-                links = links.unionByName(more)
+                join(deal_blocks(left, large, 4 * most_rows, 4 * most_bytes))
                 break
-            rings, _ = materialize(cut_rings(left, percent), "rings")
-            links = links.unionByName(rings.where("linked and cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct())
-            rings = rings.select("region", "cid", "kind", "shingles").distinct() if level else rings.select("region", "cid", "kind", "shingles")
-            # a ring without a home, or of insiders alone, has no pair left to try
-            sizes = rings.groupBy("region").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes"), F.count_if(F.col("kind") == HOME).alias("homes"), F.count_if(F.col("kind") == INSIDER).alias("insiders"), F.count_if(F.col("kind") == VISITOR).alias("visitors"))
-            useful, _ = materialize(sizes.where("homes > 0 or (insiders > 0 and visitors > 0)"), "ring-sizes")
-            small, large = useful.where(~too_large), useful.where(too_large)
-            more, _ = materialize(join_regions(rings.join(small.select("region"), "region", "left_semi"), percent).distinct(), "links")
-            links = links.unionByName(more)
+            cells, cells_path = divide_regions(left, percent)
+            links.append(cells.select(F.col("cid").alias("a"), F.explode("pivots").alias("b")))
+            cells = in_windows(cells, percent)
+            sizes = cells.groupBy("region").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes"))
+            large, large_path = materialize(sizes.where(too_large), "large")
+            temporary += [cells_path, large_path]
+            join(cells.join(large.select("region"), "region", "left_anti"))
             if large.isEmpty():
                 break
-            left = rings.join(large.select("region"), "region", "left_semi")
-            stuck = large.where("homes = 0")
-            if not stuck.isEmpty():
-                more, _ = materialize(join_regions(deal_blocks(left.join(stuck.select("region"), "region", "left_semi"), stuck, most_rows, most_bytes), percent).distinct(), "links")
-                links = links.unionByName(more)
-                large = large.where("homes > 0")
-                left = left.join(large.select("region"), "region", "left_semi")
-        drop(spark, rows_path)
-    drop(spark, members_path)
-    drop(spark, large_path)
-    parts = connected_components(links.select("a", "b"), "jaccard")
+            left = cells.join(large.select("region"), "region", "left_semi")
+    edges = functools.reduce(DataFrame.unionByName, links)
+    parts = connected_components(edges, "jaccard")
     tied = classes.join(parts, F.col("cid") == F.col("node")).select("digest", "least", "component")
     named = tied.groupBy("component").agg(F.min("least").alias("name"))
-    named, _ = materialize(tied.join(named, "component").select(F.col("digest").alias("d"), "name"), "named")
+    named, named_path = materialize(tied.join(named, "component").select(F.col("digest").alias("d"), "name"), "named")
     own = classes.select("digest", "least").join(named, F.col("digest") == F.col("d"), "left").select(F.col("digest").alias("d"), F.coalesce("name", "least").alias("component"))
-    return sets.select("doc_id", "n", "digest").join(own, F.col("digest") == F.col("d"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    found = sets.select("doc_id", "n", "digest").join(own, F.col("digest") == F.col("d"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    found, _ = materialize(found, "components")
+    drop(spark, classes_path, named_path, *temporary)
+    return found

@@ -641,6 +641,50 @@ def test_jaccard_large_ball(spark):
         assert Counter(tuple(r) for r in got.collect()) == brute_components(rows, 3, 80)
 
 
+def test_region_links_against_all_pairs():
+    """Dividing by pivots, in all mixtures of kinds, connects what all pairs connect."""
+    rng = np.random.default_rng(8)
+    for case in range(60):
+        m, percent = int(rng.integers(2, 150)), int(rng.choice([50, 80, 90]))
+        centres = [rng.integers(0, 2**63, 40, dtype=np.uint64) for _ in range(int(rng.integers(1, 5)))]
+        sets = []
+        for _ in range(m):
+            one = centres[int(rng.integers(len(centres)))].copy()
+            change = rng.integers(0, len(one), int(rng.integers(0, 9)))
+            one[change] = rng.integers(0, 60, len(change)).astype(np.uint64)
+            sets.append(np.unique(one))
+        kinds = np.full(m, jaccard.HOME) if case % 2 else rng.choice([jaccard.HOME, jaccard.VISITOR], m)
+
+        def parts(a, b):
+            return {frozenset(p) for p in _components(m, zip(a, b, strict=True))}
+
+        x, y = jaccard.pairs_of(kinds, sets, percent)
+        assert parts(*jaccard.region_links(kinds, sets, percent)) == parts(x.tolist(), y.tolist())
+
+
+def _components(m, edges):
+    root = list(range(m))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    out = defaultdict(set)
+    for i in range(m):
+        out[find(i)].add(i)
+    return out.values()
+
+
+def test_jaccard_rows_without_an_id(spark):
+    """Very many rows without a doc_id, copies among them, in time that grows with their number only."""
+    rows = [(None, f"{i % 1500} a b c d e f {i % 1500} g h") for i in range(6000)] + [(7, "3 a b c d e f 3 g h"), (7, "other words here"), (None, "other words here")]
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
+    assert got == Counter({(None, 8, None): 6000 - 4, (None, 8, 7): 4, (7, 8, 7): 1, (7, 1, 7): 1, (None, 1, 7): 1})
+
+
 def test_jaccard_empty(none):
     assert jaccard.jaccard_components(none).collect() == []
 
