@@ -23,7 +23,10 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Drop documents without a letter (``und``) and those that fit no learned language better than chance.
 
     The least score falls with the number of learned languages; where no row has a lang,
-    nothing is learned and all documents with a letter stay.
+    nothing is learned and all documents with a letter stay.  Cases: null, empty and
+    letterless texts go; a null doc_id, lang or source changes nothing; repeated rows
+    stay or go alike; very long texts are read whole; an empty table gives no rows;
+    further columns are left out.
     """
     docs = docs.select(*COLUMNS)
     langs, log_p = langid.fit(docs)
@@ -80,6 +83,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens, as ``pack_documents`` gives them.
+
+    Cases: a null or empty text is its closing token alone; rows that share a doc_id, or
+    have none, are packed each; long texts are cut into pieces; an empty table gives no
+    rows; further columns are ignored.
+    """
     return packing.pack_documents(docs, **vocabulary())
 
 

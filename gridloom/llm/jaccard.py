@@ -361,13 +361,14 @@ def divide_regions(rows: DataFrame, percent: int) -> tuple[DataFrame, str]:
 
     Rows (region, cid, kind, far, shingles, pivots): a row for each cell that the set is
     in; ``pivots`` are the classes that the set links with, given once.  Pivots are the
-    first of each region by hash, so a region's rows meet them wherever they are.
+    first of shares of each region by hash, so a region's rows meet them wherever they are.
     """
     one = F.max((F.col("kind") == HOME).cast("int")) == 0
     kinds = rows.groupBy("region").agg(one.alias("one"))
     can = rows.select("region", "cid", "kind").join(kinds, "region").where(F.col("kind") == F.when(F.col("one"), INSIDER).otherwise(HOME))
-    first = Window.partitionBy("region").orderBy(F.xxhash64("cid"), "cid")
-    chosen = can.select("region", "cid", "one").distinct().withColumn("at", F.row_number().over(first)).where(F.col("at") <= PIVOTS)
+    # the first by hash of each of PIVOTS shares: minima are combined before they are shuffled
+    first = F.min(F.struct(F.xxhash64("cid").alias("hash"), "cid")).alias("first")
+    chosen = can.groupBy("region", "one", F.pmod(F.xxhash64("cid"), F.lit(PIVOTS)).alias("share")).agg(first).select("region", "one", F.col("first.cid").alias("cid"))
     pivots = rows.where(F.col("kind") != VISITOR).join(chosen, ["region", "cid"]).groupBy("region").agg(F.first("one").alias("one"), F.array_sort(F.collect_set(F.struct("cid", "shingles"))).alias("centres"))
     pivots, pivots_path = materialize(pivots, "pivots")
 
