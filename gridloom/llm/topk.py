@@ -3,8 +3,8 @@
 Rows and queries are dealt into blocks, and a query block and a row block make a cell,
 so no task ever holds more than two blocks.  A cell sorts every dimension once.  For a
 query each dimension is a list of contributions to the score, best first, and the lists
-are read side by side, a slice of each at a time.  Of every row two bounds are kept
-from what was read: the sum of its contributions seen so far, plus, for each list where
+are read side by side, a slice of each at a time, once for all queries of the cell.  Of
+every row two bounds are kept from what was read: the sum of its contributions seen so far, plus, for each list where
 it has not come up yet, the worst entry of that list (lower bound) or the last one
 read (upper bound).  Reading stops when the rows whose upper bound reaches the k-th
 lower bound are few; only those get final scores.
@@ -38,7 +38,7 @@ def usable(embedding: Column) -> Column:
 
 
 #: parts of the lists' length after which bounds are drawn up
-DEPTHS = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 11 / 16, 3 / 4, 13 / 16, 7 / 8, 15 / 16, 1)
+DEPTHS = (1 / 8, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 13 / 16, 7 / 8, 15 / 16, 1)
 
 
 def no_random_access(queries: np.ndarray, rows: np.ndarray, allowed: np.ndarray, k: int, floors: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -46,46 +46,43 @@ def no_random_access(queries: np.ndarray, rows: np.ndarray, allowed: np.ndarray,
 
     ``allowed`` tells for (query, row) whether the row is a candidate at all; ``floors``
     holds a score that the k-th best of each query is known to reach, or -inf.
+
+    A weight only scales a list or turns it round, so the two ways through a dimension
+    are read once for all queries.  What was read stands in two matrices of rows by
+    dimensions; with the last entry read in all other places their products with the
+    weights are the upper bounds, with the list's worst entry the lower ones.
     """
-    n = len(rows)
-    values = rows.astype(np.float64)
+    n, dims = rows.shape
     up = np.argsort(rows, axis=0, kind="stable")
-    ascending = np.take_along_axis(values, up, axis=0)
-    # a list is read from its best end: from the top for positive weights, else from the bottom
-    orders, sorted_ = (up, up[::-1].copy()), (ascending, ascending[::-1].copy())
-    # sums of doubles may be off by this share of the largest sum
-    slack = 1e-12 * rows.shape[1] * np.abs(queries).astype(np.float64) @ np.abs(values).max(axis=0)
-    stops = sorted({max(1, round(n * d)) for d in DEPTHS})
-    few = max(4 * k, 16)
-    out, read = [], np.zeros(len(queries), dtype=np.int64)
-    seen = np.zeros(values.shape)
-    for i, query in enumerate(queries.astype(np.float64)):
-        sides = [np.flatnonzero(query < 0), np.flatnonzero(query > 0)]
-        seen[:] = 0
-        known = np.zeros(n)
-        worst, ends = np.zeros(len(query)), np.zeros(len(query))
-        for side, lists in enumerate(sides):
-            worst[lists] = query[lists] * sorted_[side][-1, lists]
-        candidates = np.flatnonzero(allowed[i])
-        start = 0
-        for stop in stops if query.any() else ():
-            if len(candidates) <= few:
-                break
-            for side, lists in enumerate(sides):
-                entries = orders[side][start:stop, lists]
-                gains = sorted_[side][start:stop, lists] * query[lists]
-                known += np.bincount(entries.ravel(), weights=gains.ravel(), minlength=n)
-                seen[entries, lists] = 1
-                ends[lists] = gains[-1]
-                read[i] += entries.size
-            start = stop
-            last = np.stack([ends, worst], axis=1)
-            bounds = known[:, None] + (last.sum(axis=0) - seen @ last)
-            upper, lower = bounds[candidates, 0], bounds[candidates, 1]
-            kth = max(floors[i], np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf)
-            candidates = candidates[upper >= kth - 2 * slack[i]]
-        out.append(candidates)
-    return out, read
+    ascending = np.take_along_axis(rows, up, axis=0).astype(np.float32)
+    every = np.arange(dims)
+    # single precision is enough for bounds that give way by this much: final scores are integers
+    slack = 1e-5 * (np.abs(queries).astype(np.float64) @ np.abs(ascending[[0, -1]]).max(axis=0))
+    plus, minus = np.maximum(queries, 0).astype(np.float32), np.minimum(queries, 0).astype(np.float32)
+    lists = (queries != 0).sum(axis=1)
+    top, bottom = np.full((n, dims), np.nan, dtype=np.float32), np.full((n, dims), np.nan, dtype=np.float32)
+    candidates, read = allowed.copy(), np.zeros(len(queries), dtype=np.int64)
+    few, start = max(4 * k, 16), 0
+    open_ = np.flatnonzero((candidates.sum(axis=1) > few) & (lists > 0))
+    for stop in sorted({max(1, round(n * d)) for d in DEPTHS}):
+        if not len(open_):
+            break
+        top[up[n - stop : n - start], every] = ascending[n - stop : n - start]
+        bottom[up[start:stop], every] = ascending[start:stop]
+        start = stop
+        unread = np.isnan(top), np.isnan(bottom)
+
+        def bound(high: np.ndarray, low: np.ndarray, of: np.ndarray = open_, unread: tuple = unread) -> np.ndarray:
+            return plus[of] @ np.where(unread[0], high, top).T + minus[of] @ np.where(unread[1], low, bottom).T
+
+        kth = floors[open_]
+        if n >= k and not np.isfinite(kth).all():
+            lower = np.where(allowed[open_], bound(ascending[0], ascending[-1]), -np.inf)
+            kth = np.maximum(kth, np.partition(lower, n - k, axis=1)[:, n - k])
+        candidates[open_] &= bound(ascending[n - stop], ascending[stop - 1]) >= (kth - 2 * slack[open_])[:, None]
+        read[open_] = stop * lists[open_]
+        open_ = open_[candidates[open_].sum(axis=1) > few]
+    return [np.flatnonzero(c) for c in candidates], read
 
 
 def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
