@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from .operators.route import PATTERNS, compute_pattern
 from .relational import RELATIONAL
 
 TOKENS = r"regexp_extract_all(lower({0}), '[a-z0-9_\-\.]+')"
@@ -90,7 +89,13 @@ def oracle_sql() -> dict[str, str]:
     SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM s QUALIFY rank <= 3"""
     found["metric_values"] = f"WITH {VECTORS} SELECT d.vec_id, " + ", ".join(f"round({sql}, 6) AS {name}" for name, sql in DENSE.items()) + " FROM v q JOIN v d ON true WHERE q.vec_id = 0"
     found |= {f"dense_{m}": _dense(m) for m in DENSE}
-    found |= {f"parse_{kind}": _parsed(kind) for kind in ("tsv", "csv", "pipe")}
+    found |= {f"parse_{kind}": _parsed(kind) for kind in ("tsv", "csv", "pipe")} | {"parse_markdown": _parsed("pipe")}
+    found["parse_rules"] = """SELECT r_name, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS INTEGER) AS i, n_name AS title, CASE WHEN n_nationkey % 2 = 0 THEN '## ' ELSE '' END || n_name || chr(10) || 'Number ' || n_nationkey AS body
+    FROM nation JOIN region ON n_regionkey = r_regionkey"""
+    found["ingest_repeated"] = "SELECT 'NATIONS - ' || r_name AS section, kind, 2 AS n, 2 AS n_ids FROM region CROSS JOIN (VALUES ('text'), ('table')) AS t(kind)"
+    found["evalset_t2"] = """SELECT CAST(o_custkey AS VARCHAR) AS source, arg_min(o_orderpriority, o_orderkey) AS text, CAST(sum(CASE WHEN o_orderkey % 3 = 1 THEN 2 ELSE 1 END) AS BIGINT) AS n_answers FROM orders GROUP BY o_custkey"""
+    found["store_round_trip"] = "SELECT 'NATIONS - ' || r_name AS section, count(*) AS n_rows, 'n_name' AS second FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"
+    found["sandbox_names"] = """SELECT 'nations' || CASE WHEN n_regionkey = 0 THEN '' ELSE '_' || (n_regionkey + 1) END AS view, count(*) AS n, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation GROUP BY n_regionkey"""
     found["parse_plain"] = r"SELECT doc_id, '(document)' AS title, CAST(length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS BIGINT) AS n_chars, CAST(len(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))) AS BIGINT) AS n_lines FROM documents"
     found["chunk_tables"] = """WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
     s AS (SELECT DISTINCT p_brand, n, unnest(range(0, n, CASE WHEN n <= 20 THEN n ELSE 15 END)) AS start FROM r),
@@ -101,16 +106,23 @@ def oracle_sql() -> dict[str, str]:
     found["sentence_counts"] = r"SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS BIGINT) AS n_sentences FROM documents"
     found["summary_text"] = f"SELECT doc_id, md5({_SUMMARY}) AS digest FROM documents"
     found["summary_table"] = """WITH f AS (SELECT p_brand, p_type, min(p_partkey) AS first_key FROM part GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY first_key) AS i FROM f)
-    SELECT p_brand, string_agg(p_type, ', ' ORDER BY first_key) FILTER (WHERE i <= 24) AS types, CAST(6 AS BIGINT) AS n_lines FROM t GROUP BY p_brand"""
-    found["infer_types"] = "SELECT * FROM (VALUES ('s_suppkey', 'BIGINT'), ('s_acctbal', 'DOUBLE'), ('s_name', 'STRING'), ('o_orderdate', 'DATE'), ('blank', 'STRING')) AS t(col, type)"
+    SELECT p_brand, string_agg(p_type, ', ' ORDER BY first_key) FILTER (WHERE i <= 24) AS types, 3 + (SELECT CAST(count(p_partkey) > 0 AS BIGINT) + CAST(count(p_type) > 0 AS BIGINT) + CAST(count(p_size) > 0 AS BIGINT) FROM part p WHERE p.p_brand = t.p_brand) AS n_lines FROM t GROUP BY p_brand"""
+    found["infer_types"] = r"""WITH c AS (SELECT 's_suppkey' AS col, CAST(s_suppkey AS VARCHAR) AS value FROM supplier UNION ALL SELECT 's_acctbal', printf('%.2f', s_acctbal) FROM supplier UNION ALL SELECT 's_name', s_name FROM supplier
+    UNION ALL SELECT 'o_orderdate', strftime(o_orderdate, '%Y-%m-%d') FROM orders UNION ALL SELECT 'blank', ' ' FROM orders),
+    t AS (SELECT col, nullif(trim(value), '') AS v FROM c)
+    SELECT col, CASE WHEN count(v) = 0 THEN 'STRING' WHEN count(v) = count(TRY_CAST(CASE WHEN NOT contains(v, '.') AND NOT contains(v[2:], '-') THEN v END AS BIGINT)) THEN 'BIGINT'
+      WHEN count(v) = count(TRY_CAST(v AS DOUBLE)) THEN 'DOUBLE' WHEN count(v) = count(TRY_CAST(v AS DATE)) THEN 'DATE' ELSE 'STRING' END AS type FROM t GROUP BY col"""
     name = "substr(CASE WHEN {0} = '' THEN 'col' WHEN regexp_matches({0}, '^[0-9]') THEN 'col_' || {0} ELSE {0} END, 1, 60)"
     clean = "trim(regexp_replace(lower(trim({0})), '[^a-z0-9_]+', '_', 'g'), '_')"
     found["sanitize"] = f"SELECT p_partkey, {name.format(clean.format('p_name'))} AS name, {name.format(clean.format(chr(40) + 'p_size || ' + repr(' ') + ' || p_type' + chr(41)))} AS sized FROM part"
     found["sandbox_sql"] = "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS total, min(n_name) AS first_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_regionkey"
     asked = "['What is the total of ', 'Who wrote ', 'How many in ', 'Per item: ', 'The rated '][turn % 5 + 1] || text"
-    found["route_turns"] = f"SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '{compute_pattern()}') THEN 'compute' ELSE 'lookup' END AS route, CASE WHEN regexp_matches(lower({asked}), '{compute_pattern(['wrote'], [PATTERNS[13]])}') THEN 'compute' ELSE 'lookup' END AS asked_route FROM conversations"
+    phrases = "total|sum|average|avg|mean of|median|count|how many|number of|rate|percentage|percent|ratio|across all|combined|standard deviation|variance|highest|lowest|maximum|minimum|max|min|most|least|below|above|more than|less than"
+    computes = lambda text, more: f"CASE WHEN regexp_matches(lower({text}), '(^|[^a-z0-9_])({phrases}{more})($|[^a-z0-9_])')"
+    found["route_turns"] = f"""SELECT conv_id, turn, {computes('text', '')} OR regexp_matches(lower(text), '(^|[^a-z0-9_])per[[:space:]]') THEN 'compute' ELSE 'lookup' END AS route,
+    {computes(asked, '|wrote')} THEN 'compute' ELSE 'lookup' END AS asked_route FROM conversations"""
     found["numbers"] = f"SELECT conv_id, turn, CAST(len({NUMBERS}) AS BIGINT) AS n, coalesce(list_max({NUMBERS}), 0.0) AS largest FROM (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT doc_id, -1, text FROM documents)"
-    found["answers"] = "SELECT o_orderkey, o_orderkey % 4 IN (0, 1, 3) AS any_match, false AS all_match FROM orders WHERE o_orderkey % 3 = 0"
+    found["answers"] = "SELECT o_orderkey, o_orderkey % 4 IN (0, 1, 3) OR o_orderkey % 5 = 0 AS any_match, o_orderkey % 4 IN (0, 1, 3) AND o_orderkey % 5 = 0 AS all_match FROM orders"
     found["rank_metrics"] = f"""WITH {VECTORS}, s AS (SELECT q.vec_id AS qid, q.label AS ql, d.vec_id AS doc_id, d.label AS dl, {DENSE['cosine']} AS exact FROM v q JOIN v d ON true WHERE q.vec_id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY exact DESC, doc_id) AS rank FROM s QUALIFY rank <= 5),
     h AS (SELECT qid, min(rank) FILTER (WHERE doc_id <> qid AND (dl = ql OR dl = (ql + 1) % 10)) AS hit FROM r GROUP BY qid)

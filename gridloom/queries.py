@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from .plans.guard import check
 from .relational import RELATIONAL, TABLES
 from .session import configure
 from .sources import evalsets, store
-from .sources.staging import drop, materialize, spread
+from .sources.staging import drop, materialize, new_path, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -135,10 +136,10 @@ def metric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rendered(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """A document for each region: a banner title, a note and its nations as a table."""
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    by = {"tsv": "\t", "csv": ",", "pipe": " | "}[kind]
+    by = {"tsv": "\t", "csv": ",", "pipe": " | ", "markdown": " | "}[kind]
     line = F.concat_ws(by, F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"))
     grid = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda x: x["line"]), "\n")
-    head = by.join(["n_nationkey", "n_name", "n_regionkey"])
+    head = by.join(["n_nationkey", "n_name", "n_regionkey"]) + ("\n:--- | --- | ---:" if kind == "markdown" else "")
     docs = nations.groupBy("r_regionkey", "r_name").agg(grid.alias("grid"))
     text_ = F.concat(F.lit("====\nNATIONS - "), "r_name", F.lit("\n====\nNote on "), "r_name", F.lit(f".\n\n{head}\n"), "grid", F.lit("\n"))
     return docs.select(F.col("r_name").alias("source"), F.col("r_regionkey").cast("long").alias("doc_seq"), text_.alias("text"))
@@ -153,6 +154,25 @@ def parse_table(kind: str) -> Query:
     return run
 
 
+def parse_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections between rules: one document for each region, a part for each nation, titled or not."""
+    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    part = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "## ").otherwise(""), "n_name", F.lit("\nNumber "), F.col("n_nationkey").cast("string"))
+    text_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", part.alias("part")))), lambda x: x["part"]), "\n---\n")
+    docs = both.groupBy("r_name").agg(text_.alias("text"))
+    return docs.select("r_name", F.posexplode(parse.sections(F.col("text"))).alias("i", "s")).select("r_name", "i", F.col("s.title").alias("title"), F.col("s.body").alias("body"))
+
+
+def ingest_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks held after three ingests of rendered documents: the first again changes nothing, texts under one name add up."""
+    box = index.DualIndex(spark)
+    for kind in ("tsv", "csv", "tsv"):
+        box.add_blocks(parse.parse_documents(rendered(spark, sf_dir, kind).withColumn("source", F.lit("all"))))
+    held, _ = materialize(box.blocks.groupBy("section", "kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_ids")), "held")
+    box.close()
+    return held
+
+
 def parse_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections and paragraphs of documents without banners: one section, its first line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(parse.sections(F.col("text"))).alias("s"))
@@ -231,10 +251,11 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order totals as gold answers against rounded and scaled predictions."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    """Totals and priorities of all orders as gold answers against rounded and scaled predictions, some of which name the priority."""
+    o = table(spark, sf_dir, "orders")
     shift = F.element_at(F.array(*[F.lit(x) for x in (1.0, 1.004, 1.02, 0.01)]), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    said = F.concat(F.lit("It is $"), F.format_number(F.col("o_totalprice") * shift, 2), F.lit(" in all"))
+    named = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(", priority "), "o_orderpriority")).otherwise("")
+    said = F.concat(F.lit("It is $"), F.format_number(F.col("o_totalprice") * shift, 2), F.lit(" in all"), named)
     gold = F.array(F.format_string("%.2f", "o_totalprice"), F.col("o_orderpriority"))
     return o.select("o_orderkey", match.answer_match(said, gold).alias("any_match"), match.answer_match(said, gold, True).alias("all_match"))
 
@@ -274,6 +295,33 @@ def evalset_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexts.join(named, "source")
 
 
+def evalset_t2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report records from orders: contexts by customer, answers with and without an original wording."""
+    o = table(spark, sf_dir, "orders")
+    original = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey").cast("string")).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit(" no. "), F.col("o_orderkey").cast("string")))
+    records = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("context_id"), F.col("o_orderstatus").alias("question"), F.col("o_orderkey").alias("program_answer"), original.alias("original_answer"), F.col("o_orderpriority").alias("context"), F.col("o_orderkey").alias("ord"))
+    samples, contexts = evalsets.t2_ragbench(records)
+    answered = samples.select(F.col("golden_sources")[0].alias("source"), F.size("answers").alias("n")).groupBy("source").agg(F.sum("n").alias("n_answers"))
+    return contexts.join(answered, "source")
+
+
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered blocks saved as JSON and loaded again."""
+    path = new_path(spark, "store")
+    store.save_blocks(parse.parse_documents(rendered(spark, sf_dir, "pipe")), path, "json")
+    loaded = store.load_blocks(spark, path, "json").where("kind = 'table'")
+    return loaded.select("section", F.size("rows").cast("long").alias("n_rows"), F.element_at("headers", 2).alias("second"))
+
+
+def sandbox_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of all rendered documents, ingested under one title each: names stay apart and say which rows they hold."""
+    configure(spark)
+    box = sandbox.TableSandbox(spark)
+    names = box.load_tables(parse.parse_documents(rendered(spark, sf_dir, "csv")))
+    counted = [box.query(f"SELECT '{n}' AS view, count(*) AS n, min(n_regionkey) AS n_regionkey FROM {n}") for n in names]
+    return functools.reduce(DataFrame.unionByName, counted)
+
+
 def baseline_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the rendered region documents for the baseline, with their previews."""
     docs = rendered(spark, sf_dir, "csv").select("source", F.posexplode(tfidf.chunks(F.col("text"))).alias("i", "chunk"))
@@ -290,7 +338,8 @@ def queries() -> dict[str, Query]:
     found |= {"rel_asof": rel_asof, "rel_pivot": rel_pivot}
     found |= {"tok_counts": tok_counts, "lex_idf": lex_idf, "lex_topk": lex_topk, "embed_hash": embed_hash, "embed_topk": embed_topk, "hybrid_topk": hybrid_topk, "tfidf_topk": tfidf_topk, "metric_values": metric_values}
     found |= {f"dense_{m}": dense_topk(m) for m in vector.METRICS}
-    found |= {f"parse_{kind}": parse_table(kind) for kind in ("tsv", "csv", "pipe")} | {"parse_plain": parse_plain}
+    found |= {f"parse_{kind}": parse_table(kind) for kind in ("tsv", "csv", "pipe", "markdown")} | {"parse_plain": parse_plain, "parse_rules": parse_rules, "ingest_repeated": ingest_repeated}
     found |= {"chunk_tables": chunk_tables, "chunk_text": chunk_text, "sentence_counts": sentence_counts, "summary_text": summary_text, "summary_table": summary_table}
     found |= {"store_upsert": store_upsert, "resume_remaining": resume_remaining, "evalset_contexts": evalset_contexts, "baseline_chunks": baseline_chunks, "render_blocks": render_blocks}
+    found |= {"evalset_t2": evalset_t2, "store_round_trip": store_round_trip, "sandbox_names": sandbox_names}
     return found | {"infer_types": infer_types, "sanitize": sanitize, "sandbox_sql": sandbox_sql, "route_turns": route_turns, "numbers": numbers, "answers": answers, "rank_metrics": rank_metrics}

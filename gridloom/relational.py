@@ -14,7 +14,7 @@ _SAME = {
     "full_join": "SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY s_nationkey) b ON a.k = b.k",
     "cross_join": "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE r_regionkey <= 1",
     "semi_join": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
-    "anti_join": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "anti_join": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     "in_subquery": "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')",
     "scalar_subquery": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1.8 * (SELECT avg(o_totalprice) FROM orders)",
     "correlated": "SELECT p_partkey, p_brand, p_retailprice FROM part p WHERE p_retailprice = (SELECT max(p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)",
@@ -42,7 +42,7 @@ _SAME = {
     "monthly": "SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR(10)) AS month_of, count(*) AS n FROM orders GROUP BY 1",
     "statistics": "SELECT p_brand, round(stddev_samp(p_retailprice), 4) AS sd, round(var_pop(p_retailprice), 2) AS v, round(corr(p_size, p_retailprice), 6) AS c, median(p_size) AS mid FROM part GROUP BY p_brand",
     "quantifiers": "SELECT event_type, bool_and(value >= 0) AS all_positive, bool_or(value > 50) AS some_large, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
-    "ilike": "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%BRASS' OR p_name ILIKE 'a%'",
+    "ilike": "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE 'promo%' OR p_name ILIKE '%WIDGET'",
     "values_join": "SELECT v.k, n_name FROM (VALUES (1, 'x'), (2, 'y'), (30, 'z')) AS v(k, label) LEFT JOIN nation ON n_nationkey = v.k",
 }
 
@@ -67,6 +67,10 @@ _DIALECT = {
         "SELECT o_orderpriority, percentile_cont(0.25) WITHIN GROUP (ORDER BY o_custkey) AS q1, try_divide(count(*), 0) AS none FROM orders GROUP BY o_orderpriority",
         "SELECT o_orderpriority, quantile_cont(o_custkey, 0.25) AS q1, CAST(NULL AS DOUBLE) AS none FROM orders GROUP BY o_orderpriority",
     ),
+    "sample": (
+        "SELECT s.n > 0.05 * l.n AND s.n < 0.15 * l.n AS near_a_tenth FROM (SELECT count(*) AS n FROM lineitem TABLESAMPLE (10 PERCENT) REPEATABLE (7)) s CROSS JOIN (SELECT count(*) AS n FROM lineitem) l",
+        "SELECT s.n > 0.05 * l.n AND s.n < 0.15 * l.n AS near_a_tenth FROM (SELECT count(*) AS n FROM lineitem USING SAMPLE 10 PERCENT (bernoulli, 7)) s CROSS JOIN (SELECT count(*) AS n FROM lineitem) l",
+    ),
     "qualify": (
         "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1",
         "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1",
