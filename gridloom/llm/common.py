@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import drop, materialize, new_path, shared_dir
 
-__all__ = ["connected_components", "drop", "materialize", "new_path", "running_sum", "shared_dir", "small_batches", "utf8"]
+__all__ = ["connected_components", "drop", "materialize", "new_path", "running_sum", "shared_dir", "small_batches", "utf8", "with_least"]
+
+#: a key with more rows than both is met by broadcast: this many, and this share of all
+HOT_ROWS, HOT_SHARE = 256, 1 / 1024
 
 
 @contextmanager
@@ -46,14 +49,32 @@ def running_sum(df: DataFrame, by: list[Column], value: Column, name: str, group
     return out, path
 
 
+def with_least(df: DataFrame, key: str, value: str, spread: str, rows: int) -> DataFrame:
+    """``df`` with ``low``: the least ``value`` of the rows that share its ``key``.
+
+    ``rows`` is at least the number of rows.  Keys with more than ``HOT_SHARE`` of that
+    number (so fewer than 1 / HOT_SHARE keys) and ``HOT_ROWS`` rows are broadcast with
+    their minima, and their rows are dealt out by ``spread``; all others meet by key.  No
+    task gets the rows of a hub, whatever their size, and minima are combined before
+    they are shuffled.  Nulls of ``value`` count for nothing; a null key has a null low.
+    """
+    per = df.groupBy(F.col(key).alias("_key")).agg(F.min(value).alias("_low"), F.count("*").alias("_n"))
+    hot = per.where((F.col("_n") > max(HOT_ROWS, int(rows * HOT_SHARE))) & F.col("_key").isNotNull()).select(F.col("_key").alias("_hot"), F.col("_low").alias("_hot_low"))
+    marked = df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    # the second hash agrees with no key's own: those rows find nothing there, and need nothing
+    by = F.when(F.col("_hot").isNull(), F.xxhash64(key)).otherwise(F.xxhash64(key, spread))
+    met = marked.withColumn("_by", by).join(per.select("_key", "_low"), (F.col("_by") == F.xxhash64("_key")) & (F.col(key) == F.col("_key")), "left")
+    return met.select(*df.columns, F.coalesce("_hot_low", "_low").alias("low"))
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is its smallest reachable node.
 
     Alternating large and small stars: each round hangs a node's larger neighbours
-    and then its smaller ones on the smallest, until nothing changes.  Minima are
-    combined before the shuffle, so a node with very many edges costs one row a
-    task there; the join back is an ordinary equi-join that AQE splits.  Each round
-    is written to the shared folder.  Edges with a null end and loops are ignored.
+    and then its smaller ones on the smallest, until nothing changes.  A node with very
+    many edges costs one row a task for its minimum, and ``with_least`` takes that back
+    to its edges without bringing them together.  Each round is written to the shared
+    folder.  Edges with a null end and loops are ignored.
     """
     spark = edges.sparkSession
     now, path = materialize(
@@ -62,12 +83,13 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     before = _digest(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*")
+        low = with_least(both, "a", "b", "b", 2 * before[0]).withColumn("low", F.least("a", "low"))
+        large = low.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        large, large_path = materialize(large, name)
+        least = with_least(large, "a", "b", "b", before[0])
+        small = least.select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*")
         after, new = materialize(small.where("a <> b").distinct(), name)
-        drop(spark, path)
+        drop(spark, path, large_path)
         now, path, was = after, new, before
         before = _digest(now)
         if before == was:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop, materialize, small_batches
+from .common import connected_components, drop, materialize, small_batches, with_least
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: kinds of a region's rows: linked to its pivot; to be paired; from another cell
@@ -96,7 +96,7 @@ def frequent_shingles(docs: DataFrame, k: int, rows: int, most: int) -> tuple[np
     """
     n = docs.count()
     share = min(1.0, rows / n) if n else 1.0
-    sample = docs if share >= 1 else docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = docs if share >= 1 else docs.where(F.pmod(F.xxhash64("doc_id", "key", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -535,8 +535,8 @@ def _components(docs: DataFrame, k: int, percent: int, sample_rows: int, most_fr
     edges = functools.reduce(DataFrame.unionByName, links)
     parts = connected_components(edges, "jaccard")
     tied = classes.join(parts, F.col("cid") == F.col("node")).select("digest", "least", "component")
-    named = tied.groupBy("component").agg(F.min("least").alias("name"))
-    named, named_path = materialize(tied.join(named, "component").select(F.col("digest").alias("d"), "name"), "named")
+    named = with_least(tied, "component", "least", "digest", classes.count())
+    named, named_path = materialize(named.select(F.col("digest").alias("d"), F.col("low").alias("name")), "named")
     own = classes.select("digest", "least").join(named, F.col("digest") == F.col("d"), "left").select(F.col("digest").alias("d"), F.coalesce("name", "least").alias("component"))
     found = sets.select("doc_id", "n", "digest").join(own, F.col("digest") == F.col("d"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     found, _ = materialize(found, "components")

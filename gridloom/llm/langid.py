@@ -91,15 +91,15 @@ def in_batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def fit(labelled: DataFrame, bits: int = 14, rows: int = 20_000, seed: int = 11, most_langs: int = 1024) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the matrix of log probabilities, from (doc_id, text, lang).
 
-    At most about ``rows`` labelled rows, spread by a hash of their doc_id, are read:
-    the bound of the training sample.  Add-one smoothing; the prior is uniform.  The
-    sample may name at most ``most_langs`` languages, the bound of the matrix that comes
+    At most about ``rows`` labelled rows, spread by a hash of doc_id and text (so that
+    rows without a doc_id are spread too), are read: the bound of the training sample.
+    Add-one smoothing; the prior is uniform.  The sample may name at most ``most_langs`` languages, the bound of the matrix that comes
     to the driver; more are an error, as none could be left out without loss.
     """
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     n = labelled.count()
     share = min(1.0, rows / n) if n else 1.0
-    sample = labelled if share >= 1 else labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = labelled if share >= 1 else labelled.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

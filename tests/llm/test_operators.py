@@ -429,9 +429,37 @@ def test_resolution_of_references(spark, target, wanted):
     assert spark.range(1).select(urlfilter.absolute(F.lit(target), F.lit("http://a/b/c/d;p?q"))).first()[0] == wanted
 
 
+def test_least_of_hubs_without_bringing_them_together(spark):
+    """Rows of keys over the bound are dealt out; nulls in both columns, and every row stays."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 1, 1, 2, i, None]), rng.choice([None, rng.randrange(10**6)]), i) for i in range(4000)] + [(-1, None, 0)]
+    df = spark.createDataFrame(rows, "k long, v long, i long")
+    found = common.with_least(df, "k", "v", "i", len(rows))
+    least = {}
+    for k, v, _ in rows:
+        if v is not None:
+            least[k] = min(v, least.get(k, v))
+    wanted = Counter((k, v, i, None if k is None else least.get(k)) for k, v, i in rows)
+    assert Counter(map(tuple, found.collect())) == wanted
+    # a hub's rows are in many partitions when the join has to shuffle
+    with_shuffle = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    was = {name: spark.conf.get(name) for name in with_shuffle}
+    try:
+        for name, value in with_shuffle.items():
+            spark.conf.set(name, value)
+        at = common.with_least(df, "k", "v", "i", len(rows)).where("k = 1").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for name, value in was.items():
+            spark.conf.set(name, value)
+    assert len(at) == 4 and max(r["count"] for r in at) < 2 * min(r["count"] for r in at)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(500, 600)] + [(7, 7), (None, 3)]
+    edges += [(2000, 2001 + i) for i in range(1500)] + [(5000 + i, 4999) for i in range(0, 900, 3)] + [(5000, 2500)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     near = defaultdict(set)
     for a, b in edges:
