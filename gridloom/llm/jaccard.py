@@ -10,7 +10,8 @@
 3. Every set has a parity sketch, one bit for each of about n cells of the hash range.
    The bits in which two sketches differ are at most the symmetric difference, so a
    set leaves a region where each other one is farther than a link allows; shingles
-   are fetched for what stays.
+   are fetched for what stays.  Rows of large regions meet by size for that, in tasks
+   of few rows: chance brings many together that share one shingle and nothing else.
 4. A region of more than ``FEW`` sets is divided by pivots.  With e the join's distance,
    a set within e of a pivot links to it and goes to the cell of its nearest pivot; by
    the triangle inequality a partner of it is within 2e of that pivot, so a set from e
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,7 @@ INSIDER, HOME, VISITOR = 0, 1, 2
 REST = -1  #: the part of a region that no pivot reaches
 FEW = 16  #: sets that are compared directly
 PIVOTS = 8  #: pivots that divide a region
+BLOCKS = 32  #: a part of a region in more blocks is not pruned by sketches
 
 
 class _Words(dict):
@@ -129,23 +132,43 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8) & 1).tobytes()
 
 
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Packed parity sketches (a row each) with ``width`` bytes: the parities of neighbouring cells add up."""
+    while bits.shape[1] > width:
+        cells = np.unpackbits(bits, axis=1)
+        bits = np.packbits(cells[:, 0::2] ^ cells[:, 1::2], axis=1)
+    return bits
+
+
 def within_reach(sizes: np.ndarray, parities: list[bytes], percent: int) -> np.ndarray:
-    """Whether each set of a region has another one that its parity sketch does not rule out."""
-    width = min(map(len, parities))
-    rows = []
-    for p in parities:
-        bits = np.frombuffer(p, dtype=np.uint8)
-        while len(bits) > width:  # halve the number of cells: neighbours' parities add up
-            pairs = np.unpackbits(bits).reshape(-1, 2)
-            bits = np.packbits(pairs[:, 0] ^ pairs[:, 1])
-        rows.append(bits)
-    table = np.vstack(rows).view(np.uint64)
+    """Whether each set of a region has another one of a size to link with that its parity sketch does not rule out.
+
+    Sets meet those of at least their size only, at the width of the smaller one's
+    sketch: larger sets keep what their longer sketches tell of each other.
+    """
+    order = np.argsort(sizes, kind="stable")
+    ordered = sizes[order].astype(np.int64)
+    widths = np.array([len(parities[i]) for i in order])
+    ends = np.searchsorted(percent * ordered, 100 * ordered, side="right")
     near = np.zeros(len(sizes), dtype=bool)
-    for i in range(len(sizes)):
-        apart = np.bitwise_count(table ^ table[i]).sum(axis=1, dtype=np.int64)
-        hit = apart * (100 + percent) <= (sizes + sizes[i]) * (100 - percent)
-        near[i] = hit.sum() > 1
-    return near
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        start, end = int(own[0]), int(ends[own[-1]])
+        if end - start < 2:
+            continue
+        met = [np.flatnonzero(widths[start:end] == w) + start for w in np.unique(widths[start:end]).tolist()]
+        table = np.concatenate([folded(np.frombuffer(b"".join(parities[order[j]] for j in at), dtype=np.uint8).reshape(len(at), -1), width) for at in met])
+        table = np.ascontiguousarray(table).view(np.uint64)
+        for i in own.tolist():
+            to = int(ends[i])
+            apart = np.bitwise_count(table[i + 1 - start : to - start] ^ table[i - start]).sum(axis=1, dtype=np.int64)
+            hit = apart * (100 + percent) <= (ordered[i + 1 : to] + ordered[i]) * (100 - percent)
+            if hit.any():
+                near[i] = True
+                near[i + 1 : to] |= hit
+    out = np.zeros(len(sizes), dtype=bool)
+    out[order] = near
+    return out
 
 
 def by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -163,8 +186,33 @@ def by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
+def deal_sizes(members: DataFrame, percent: int, most_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of crowded regions (pivot, cid, n), dealt so that all whose sizes may link meet; and rows not dealt.
+
+    The first has ``part`` and ``pair``: a row is in the part of its size and in those up
+    to the largest size that it may link with, and a part of more than ``most_rows`` is
+    dealt into pairs of blocks.  Parts of more than ``BLOCKS`` blocks are not dealt: there
+    the sketches would be as many bytes as the shingles.
+    """
+    step = math.log(100 / percent) if percent < 100 else 1.0
+    low, high = (F.floor(F.log(n) / step) for n in (F.col("n").cast("double"), F.lit(100.0) * F.col("n") / percent))
+    parts = members.withColumn("part", F.explode(F.sequence(low, high)))
+    count = F.count("*")
+    sizes = parts.groupBy("pivot", "part").agg(F.when(count > most_rows, F.ceil(2 * count / most_rows)).otherwise(1).alias("blocks"))
+    met = parts.join(sizes, ["pivot", "part"])
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
+    dealt = met.where(F.col("blocks") <= BLOCKS).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.where("blocks = 1 or own <> other")  # a block meets itself in each of its pairs
+    pair = F.least("own", "other") * BLOCKS + F.greatest("own", "other")
+    return dealt.select("pivot", "cid", "n", "part", pair.alias("pair")), met.where(F.col("blocks") > BLOCKS).select("pivot", "cid", "n")
+
+
 def prune_regions(rows: DataFrame, percent: int) -> DataFrame:
-    """(pivot, cid, n) of those ``rows`` (pivot, cid, n, parity) that may link in their region."""
+    """(pivot, cid, n) of those ``rows`` (pivot, cid, n, part, pair, parity) that may link in their region.
+
+    A region's rows of one part and pair are held at once.  (Those whose hashes agree are
+    held together, which leaves in more.)
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["pivot", "cid", "n"]
@@ -178,7 +226,8 @@ def prune_regions(rows: DataFrame, percent: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
-    return rows.select("pivot", F.col("pivot").alias("p"), "cid", "n", "parity").repartition("pivot").sortWithinPartitions("pivot").mapInArrow(run, "pivot long, cid long, n long")
+    held = F.xxhash64("pivot", "part", "pair").alias("held")
+    return rows.select(held, "pivot", "cid", "n", "parity").repartition("held").sortWithinPartitions("held").mapInArrow(run, "pivot long, cid long, n long")
 
 
 def pairs_of(kinds: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -472,12 +521,15 @@ def _components(docs: DataFrame, k: int, percent: int, sample_rows: int, most_fr
     group = Window.partitionBy("shingle", "run")
     members = runs.withColumn("pivot", F.min("cid").over(group)).withColumn("among", F.count("*").over(group)).where("among > 1").select("pivot", "cid", "n").distinct()
     members, met_path = materialize(members, "members")
-    crowded = members.groupBy("pivot").count().where(F.col("count") > most_rows).select("pivot")
-    sketched = members.join(classes.select("cid", "parity"), "cid")
+    crowded, crowded_path = materialize(members.groupBy("pivot").count().where(F.col("count") > most_rows).select("pivot"), "crowded")
+    dealt = members.withColumns({"part": F.lit(0).cast("long"), "pair": F.lit(0).cast("long")})
+    whole = None
     if not crowded.isEmpty():
-        sketched = sketched.join(crowded, "pivot", "left_anti")
-    kept = prune_regions(sketched, percent)
-    members, members_path = materialize(kept.unionByName(members.join(crowded, "pivot", "left_semi").select("pivot", "cid", "n")), "members")
+        by_size, whole = deal_sizes(members.join(crowded, "pivot", "left_semi"), percent, most_rows)
+        dealt = dealt.join(crowded, "pivot", "left_anti").unionByName(by_size)
+    kept = prune_regions(dealt.join(classes.select("cid", "parity"), "cid"), percent)
+    members, members_path = materialize(kept if whole is None else kept.unionByName(whole).distinct(), "members")
+    drop(spark, crowded_path)
     drop(spark, met_path)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -713,6 +713,55 @@ def test_jaccard_rows_without_an_id(spark):
     assert got == Counter({(None, 8, None): 6000 - 4, (None, 8, 7): 4, (7, 8, 7): 1, (7, 1, 7): 1, (None, 1, 7): 1})
 
 
+def test_sketches_of_unlike_sizes():
+    """A small set beside large ones does not blunt their sketches, and no set within reach is ruled out."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, int(n), dtype=np.uint64) * np.uint64(2)) for n in rng.integers(5, 3000, 150)]
+    for i in range(0, 150, 10):  # near copies
+        sets.append(np.unique(np.concatenate([sets[i][: max(1, len(sets[i]) * 24 // 25)], rng.integers(0, 2**63, len(sets[i]) // 50, dtype=np.uint64)])))
+    sizes = np.array([len(x) for x in sets])
+    for percent in (80, 90, 100):
+        near = jaccard.within_reach(sizes, [jaccard.parity(x) for x in sets], percent)
+        links = np.zeros(len(sets), dtype=bool)
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if percent * max(sizes[i], sizes[j]) <= 100 * min(sizes[i], sizes[j]) and jaccard.linked(len(np.intersect1d(a, sets[j])), sizes[i], sizes[j], percent):
+                    links[[i, j]] = True
+        assert not (links & ~near).any()
+        assert near.sum() <= links.sum() + 8
+
+
+@pytest.mark.parametrize(("percent", "most_rows"), [(50, 6), (80, 8), (90, 300), (100, 8)])
+def test_deal_sizes(spark, percent, most_rows):
+    """All rows of a region whose sizes may link meet in a part of few rows, or are not dealt."""
+    rng = random.Random(2)
+    rows = [(5, i, rng.choice([7, 7, 7, 8, rng.randint(1, 400)])) for i in range(300)]
+    dealt, whole = jaccard.deal_sizes(spark.createDataFrame(rows, "pivot long, cid long, n long"), percent, most_rows)
+    held, whole = defaultdict(set), {r.cid for r in whole.collect()}
+    for r in dealt.collect():
+        held[r.part, r.pair].add(r.cid)
+    assert max(map(len, held.values())) <= max(2 * most_rows, 24)
+    met = {(a, b) for h in held.values() for a in h for b in h}
+    for _, a, n in rows:
+        for _, b, m in rows:
+            if a != b and percent * m <= 100 * n and percent * n <= 100 * m:
+                assert (a, b) in met or {a, b} <= whole
+
+
+def test_jaccard_crowded_by_chance(spark, monkeypatch):
+    """Shingles are fetched for what may link, and not for all of a large region whose sets share a passage only."""
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(20, 90))) + " " + passage) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(10)]
+    written = {}
+    real = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: (out := real(df, name), written.__setitem__(name, out[0].count()))[0])
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, sample_rows=1, most_rows=32)
+    assert Counter(tuple(r) for r in got.collect()) == brute_components(rows, 3, 80)
+    assert written["members"] <= 200  # several hundred rows are in large regions
+
+
 def test_jaccard_empty(none):
     assert jaccard.jaccard_components(none).collect() == []
 
