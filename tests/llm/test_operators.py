@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 
 from gridloom.llm import common, extraction, fingerprints, jaccard, langid, licenses, mixing, packing, queries, topk, urlfilter, warc
+from gridloom.sources import staging
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -762,6 +764,22 @@ def test_jaccard_crowded_by_chance(spark, monkeypatch):
     assert written["members"] <= 200  # several hundred rows are in large regions
 
 
+def test_materialize_leaves_no_shuffle_files(spark):
+    """What a written query has shuffled goes when it is written; the session's setting is as before."""
+    name = staging.CLEANUP
+    was = spark.conf.get(name, None)
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    files = lambda: sum(str(f).endswith(".data") and "shuffle_" in str(f) for f in manager.diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    before = files()
+    staging.materialize(spark.range(1000).repartition(3, "id").groupBy("id").count(), "test")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert spark.conf.get(name, None) == was
+
+
 def test_jaccard_empty(none):
     assert jaccard.jaccard_components(none).collect() == []
 
